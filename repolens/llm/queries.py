@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .neardup import near_duplicates
+from .substrings import substring_report
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"), least=400)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +19,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
     }
 
