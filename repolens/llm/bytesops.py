@@ -10,8 +10,10 @@ the sum of its cells, finished with an avalanche mix. Two different words collid
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +175,13 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def bounded_batches(spark) -> None:
-    """Arrow batches small enough that a worker's memory does not depend on how long the texts are."""
+    """Arrow batches small enough that a worker's memory does not depend on how long the texts are.
+
+    Also puts the folder of this package on the workers' import path, for sessions started elsewhere.
+    """
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if (root := str(Path(__file__).resolve().parents[2])) not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)

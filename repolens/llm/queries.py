@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination_report
+from .langid import language_report
 from .neardup import near_duplicates
 from .substrings import substring_report
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"), least=400)
 
@@ -19,6 +29,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
     }
