@@ -7,10 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination_report
 from .langid import language_report
+from .mixing import mix
 from .neardup import near_duplicates
 from .substrings import substring_report
 
 
+#: Target weights of the corpus mix; sources beyond these share weight 1.
+MIX_WEIGHTS = {f"src{i}": 8 if i < 5 else 5 if i < 10 else 3 for i in range(20)}
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, other=1)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -29,6 +38,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op2_language_id": op2_language_id,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
