@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination_report
 from .langid import language_report
+from .lm import lm_report
 from .mixing import mix
 from .neardup import near_duplicates
+from .quality import QUALITY_SQL, quality
 from .substrings import substring_report
 
 
@@ -36,6 +38,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -43,8 +53,12 @@ def queries() -> dict:
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_quality_rules": QUALITY_SQL,
+    }
