@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import chunk_report
 from .common import table
 from .decontaminate import contamination_report
 from .langid import language_report
@@ -30,6 +31,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_report(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"), least=400)
 
@@ -51,6 +56,7 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op2_language_id": op2_language_id,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_chunk_dedup": op4_chunk_dedup,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import BROADCAST_ROWS, settle, small
+from .common import settle, small
 
 GRAM = 100
 SORT_BYTES = 1 << 20
@@ -261,7 +261,7 @@ def _merge():
     return run
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
+def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))).withColumn("__k", F.xxhash64("text"))
 
 
@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
     if least <= gram:
         raise ValueError(f"least must be more than gram ({gram})")
     B.bounded_batches(docs.sparkSession)
-    keyed = _with_key(docs).where(F.octet_length("text") >= least).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text")
+    keyed = with_key(docs).where(F.octet_length("text") >= least).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text")
     found = settle(keyed.mapInArrow(_find_anchors(least, gram), "h bigint, c bigint, d bigint, k bigint, lo bigint, n bigint"))
     groups = found.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("times > 1")
     again = found.join(groups.select("h", (F.col("c_low") == F.col("c_high")).alias("whole")), "h")
@@ -297,12 +297,12 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
     return settle(gathered.mapInArrow(_merge(), "d bigint, k bigint, starts array<bigint>, ends array<bigint>"))
 
 
-def _joined(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    spans = repeated_spans(docs, least, gram)
+def attach(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """docs with __starts, __ends and extra columns from spans (d, k, starts, ends, ...), null where a text has none."""
     n, total = spans.agg(F.count("*"), F.sum(F.size("starts"))).first()
-    right = small(spans, max(n, (total or 0) // 4)) if n <= BROADCAST_ROWS else spans
-    right = right.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    return _with_key(docs).join(right, ["__d", "__k"], "left")
+    right = small(spans, max(n, (total or 0) // 4))
+    right = right.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"), *extra)
+    return with_key(docs).join(right, ["__d", "__k"], "left")
 
 
 def _keep(text: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -316,13 +316,14 @@ def _keep(text: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def _digests(batches):
     for batch in batches:
+        more = batch.schema.names[4:]
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         rows = list(zip(texts, batch.column("starts").to_pylist(), batch.column("ends").to_pylist()))
         kept = [_keep(t or b"", s or [], e or []) for t, s, e in rows]
         size = [len(t or b"") for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array([n - len(x) for n, x in zip(size, kept)], pa.int64()), pa.array([len(s or []) for _, s, _ in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array([n - len(x) for n, x in zip(size, kept)], pa.int64()), pa.array([len(s or []) for _, s, _ in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), *(batch.column(c) for c in more)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more],
         )
 
 
@@ -332,8 +333,14 @@ def substring_report(docs: DataFrame, least: int = 400, gram: int = GRAM) -> Dat
     docs needs doc_id and text; other columns are ignored. A null text counts as empty. A row that repeats
     another, id included, is a copy like any other: all its repeated bytes go.
     """
-    joined = _joined(docs.select("doc_id", "text"), least, gram).select("doc_id", "text", F.col("__starts").alias("starts"), F.col("__ends").alias("ends"))
-    return joined.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return digests(docs.select("doc_id", "text"), repeated_spans(docs, least, gram))
+
+
+def digests(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """substring_report()'s columns for texts without the given spans, and bigint columns of spans (0 for texts that have none)."""
+    joined = attach(docs, spans, extra).select("doc_id", "text", F.col("__starts").alias("starts"), F.col("__ends").alias("ends"), *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in extra))
+    schema = ", ".join(["doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *(f"{c} bigint" for c in extra)])
+    return joined.mapInArrow(_digests, schema)
 
 
 def _rewrite(batches):
@@ -345,12 +352,17 @@ def _rewrite(batches):
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataFrame:
-    """docs with its text column rewritten; every row and every other column stay.
+    """docs without its repeated strings of ``least`` bytes; every row and every other column stay.
 
     Removal is in bytes; what it leaves of a character that it cuts is dropped, so texts stay valid.
     """
+    return without(docs, repeated_spans(docs, least, gram))
+
+
+def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with the given spans taken out of the text column."""
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "__new string"])
-    joined = _joined(docs, least, gram).select(*(F.col(f"`{c}`") for c in rest), F.col("text").alias("__text"), "__starts", "__ends")
+    joined = attach(docs, spans).select(*(F.col(f"`{c}`") for c in rest), F.col("text").alias("__text"), "__starts", "__ends")
     done = joined.mapInArrow(_rewrite, schema).withColumnRenamed("__new", "text")
     return done.select(*(F.col(f"`{c}`") for c in docs.columns))
