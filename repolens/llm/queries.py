@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_report
 from .chunks import chunk_report
 from .common import table
 from .decontaminate import contamination_report
 from .langid import language_report
+from .licenses import license_report
 from .lm import lm_report
 from .mixing import mix
 from .neardup import near_duplicates
@@ -47,10 +49,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_report(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -60,7 +70,9 @@ def queries() -> dict:
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_scan": op8_license_scan,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_chat_format": op10_chat_format,
     }
 
 
