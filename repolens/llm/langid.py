@@ -233,15 +233,14 @@ def label_slice(piece: B.Slice, model: Model) -> tuple[list, np.ndarray, np.ndar
     return labels, share, n_spans, langs, counts
 
 
-def _label(model: Model):
+def _label(model: Model, keep: tuple[str, ...]):
     def run(batches):
         for batch in batches:
-            rest = [c for c in batch.schema.names if c != "__text"]
             for piece in B.slices(batch.column("__text")):
                 labels, share, n_spans, langs, counts = label_slice(piece, model)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(piece.first, piece.n) for c in rest), pa.array([x or UNDETERMINED for x in labels]), pa.array(share), pa.array(n_spans, pa.int64()), pa.array(langs, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
-                    [*rest, "lang_pred", "score", "n_spans", "span_langs", "span_words"],
+                    [*(batch.column("__text" if c == "text" else c).slice(piece.first, piece.n) for c in keep), pa.array([x or UNDETERMINED for x in labels]), pa.array(share), pa.array(n_spans, pa.int64()), pa.array(langs, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
+                    [*keep, "lang_pred", "score", "n_spans", "span_langs", "span_words"],
                 )
 
     return run
@@ -256,7 +255,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """
     B.bounded_batches(docs.sparkSession)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, n_spans bigint, span_langs array<string>, span_words array<int>"])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text")).mapInArrow(_label(model), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep if c != "text"), F.col("text").alias("__text")).mapInArrow(_label(model, keep), schema)
 
 
 def held_out(doc_id="doc_id", mod: int = 5, remainder: int = 0):
@@ -268,3 +267,13 @@ def language_report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_spans): learned from rows that are not held out, predicted for all."""
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"), rows)
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def only_identified(docs: DataFrame, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs without texts that have no language, or none with ``least`` of the letters; columns stay."""
+    model = train(docs.where(~held_out()).select("doc_id", "text", "lang"), rows)
+    own = tuple(c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "span_langs", "span_words"))
+    if len(own) < len(docs.columns):
+        raise ValueError("docs has a column that the labels would hide; rename it first")
+    found = identify(docs, model, keep=own)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in own))

@@ -14,6 +14,8 @@ class from the start and never meet each other.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import components, settle, small
 
-BANDS = 42
 BAND_ROWS = 6
+#: Chance that no band of a pair exactly at the threshold agrees; the number of bands follows.
+MISS = 1e-9
 BLOCK = 128
 _PROBES = 4096
 
@@ -87,6 +90,11 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return B.mix64(key + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def bands_for(percent: int, rows: int = BAND_ROWS) -> int:
+    """Bands that a pair at the threshold shares one of, but for a chance of MISS."""
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - min(percent / 100, 0.999) ** rows)))
+
+
 def _least_linkable(percent: int) -> int:
     """Smaller sets than this link with no set but an equal one: n / (n + 1) stays below the threshold."""
     n = 1
@@ -211,7 +219,7 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs.
 
     docs needs doc_id (bigint) and text; other columns are ignored. Shingles are k words, ASCII-lower-cased;
@@ -220,6 +228,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     doc_id are one node. A row with null doc_id has component_id null and is kept. Eager: it runs jobs.
     """
     B.bounded_batches(docs.sparkSession)
+    bands = bands_for(percent, rows)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = settle(docs.mapInArrow(_sketch(k, bands, rows, _least_linkable(percent)), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     node = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -276,3 +285,15 @@ def _cross_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     others = placed.select("cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outlier_blocks") - 1)).alias("i"), own.alias("j"), "id", "component", "shingles", F.lit(False).alias("outlier"))
     return settle(outliers.unionByName(others).groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the smallest doc_id; columns stay.
+
+    Rows with equal doc_id and text are one document. Rows with null doc_id all stay. Eager.
+    """
+    key = ["doc_id", F.xxhash64("text").alias("__t")]
+    if not docs.select(*key).groupBy("doc_id", "__t").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    gone = settle(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
