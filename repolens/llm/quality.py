@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: A line is boilerplate in more documents of a host than this, and than this share of them.
 LINE_DOCS = 20
 LINE_SHARE = 0.01
@@ -50,9 +52,8 @@ def _covered(starts: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """A line as it is compared: A-Z lower-cased, digits alike, white space single and trimmed."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.btrim(F.regexp_replace(F.regexp_replace(lower, "[0-9]+", "0"), _GAP, " "), F.lit(" "))
+    """A line as it is compared: lower-cased, digits alike, white space single and trimmed."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), _GAP, " "), F.lit(" "))
 
 
 def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -61,7 +62,7 @@ def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LIN
     docs needs doc_id, text and source; other columns are ignored. A null text has no words; rows with null
     source are one host. base_failed: under 50 words, or more than half of them in repeated 3-word windows.
     n_left: words outside lines that more than max(line_docs, line_share of the host's) documents share. kept:
-    not base_failed and not depleted. Rows with equal id, text and source are one document in the counts.
+    not base_failed and not depleted. Eager: it writes the line hashes once. Rows with equal id, text and source are one document in the counts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     host = F.coalesce(F.col("source"), F.lit("\x00"))
@@ -71,14 +72,13 @@ def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LIN
         "doc_id",
         "k",
         words(F.col("text")).alias("w"),
-        F.length(F.translate("text", _SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace("text", f"[^{_SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
         F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("lines"),
     )
     windows = F.when(F.size("w") < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.slice("w", 1, F.size("w") - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     )
-    base = base.select("doc_id", "k", F.size("w").cast("bigint").alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), windows.alias("h"))
+    base = base.select("doc_id", "k", F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"), "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), windows.alias("h"))
     rest = ("doc_id", "k", "n_words", "word_chars", "n_symbols", "n_dup_lines")
     base = base.select(*rest, window_pairs(F.col("h")).alias("pairs")).select(*rest, repeated_starts("pairs").alias("starts"))
     base = base.select(*rest, _covered(F.col("starts")).cast("bigint").alias("n_repeat_words"))
@@ -94,10 +94,11 @@ def _removed_words(keyed: DataFrame, line_docs: int, line_share: float) -> DataF
     """(k, n_removed): words of each document in lines over the limit; documents without such lines are absent."""
     exploded = keyed.select("k", "host", F.explode(F.split("text", "\n", -1)).alias("line")).select("k", "host", normalised(F.col("line")).alias("line")).where("line != ''")
     lines = (
-        exploded.select("k", "host", F.xxhash64("host", "line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n"))
+        exploded.select("k", "host", F.xxhash64("host", "line").alias("h"), F.size(F.split("line", " ")).alias("n"))
         .groupBy("k", "host", "h")
         .agg(F.sum("n").alias("n"))
     )
+    lines = settle(lines)  # read twice: to count documents, and to find the lines that go
     hosts = keyed.groupBy("host").agg(F.countDistinct("k").alias("docs"))
     often = lines.groupBy("h", "host").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > line_docs)
     often = often.join(hosts, "host").where(F.col("docs_with") > line_share * F.col("docs")).select("h")
@@ -120,7 +121,7 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + o) AS n FROM gram JOIN twice USING (doc_id, g), (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id
 ), line AS (
-  SELECT doc_id, host, trim(regexp_replace(regexp_replace(translate(unnest(lines), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l
+  SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(unnest(lines)), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l
   FROM w
 ), often AS (
   SELECT host, l FROM line JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host)
