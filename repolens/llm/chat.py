@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .common import schema_with
 
 ROLES = ("system", "user", "assistant")
 #: Turns of one conversation that are laid into one transcript; longer conversations become several.
@@ -147,7 +148,7 @@ def format_chat(transcripts: DataFrame, text: str = "transcript") -> DataFrame:
     """
     B.bounded_batches(transcripts.sparkSession)
     rest = [c for c in transcripts.columns if c not in (text, "roles", "texts", "rendered")]
-    schema = ", ".join([*(f"`{c}` {transcripts.schema[c].dataType.simpleString()}" for c in rest), "roles array<string>, texts array<string>, rendered string"])
+    schema = schema_with(transcripts, rest, "roles array<string>, texts array<string>, rendered string")
     return transcripts.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias("__transcript")).mapInArrow(_format, schema)
 
 

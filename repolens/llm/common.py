@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if a count of its rows, done first, stays within this.
 BROADCAST_ROWS = 500_000
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, keep, added: str) -> T.StructType:
+    """The fields of kept columns, whatever their types, and of a DDL string."""
+    return T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(added).fields])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share.
 

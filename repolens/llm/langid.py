@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .common import schema_with
 
 #: Training reads about this many labelled rows, picked by a hash of doc_id, at any size of the table.
 TRAIN_ROWS = 20_000
@@ -233,29 +234,34 @@ def label_slice(piece: B.Slice, model: Model) -> tuple[list, np.ndarray, np.ndar
     return labels, share, n_spans, langs, counts
 
 
-def _label(model: Model, keep: tuple[str, ...]):
+def _label(model: Model, keep: tuple[str, ...], names: list[str]):
     def run(batches):
         for batch in batches:
             for piece in B.slices(batch.column("__text")):
                 labels, share, n_spans, langs, counts = label_slice(piece, model)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column("__text" if c == "text" else c).slice(piece.first, piece.n) for c in keep), pa.array([x or UNDETERMINED for x in labels]), pa.array(share), pa.array(n_spans, pa.int64()), pa.array(langs, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
-                    [*keep, "lang_pred", "score", "n_spans", "span_langs", "span_words"],
+                    [*keep, *names],
                 )
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+_LABELS = {"lang_pred": "string", "score": "double", "n_spans": "bigint", "span_langs": "array<string>", "span_words": "array<int>"}
+
+
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The ``keep`` columns and lang_pred, score, n_spans, span_langs, span_words of each row of docs.
 
+    prefix goes before the new names, where docs has columns called so.
+
     lang_pred: a learned language, or ``und`` if the text is null or has no letter (score 0, no spans). A text
     with letters of unlearned scripts only gets the commonest learned language with score 0. Only the text is
     read for a prediction; ties go to the language that sorts first.
     """
     B.bounded_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, n_spans bigint, span_langs array<string>, span_words array<int>"])
-    return docs.select(*(F.col(f"`{c}`") for c in keep if c != "text"), F.col("text").alias("__text")).mapInArrow(_label(model, keep), schema)
+    schema = schema_with(docs, keep, ", ".join(f"{prefix}{name} {kind}" for name, kind in _LABELS.items()))
+    return docs.select(*(F.col(f"`{c}`") for c in keep if c != "text"), F.col("text").alias("__text")).mapInArrow(_label(model, keep, [prefix + name for name in _LABELS]), schema)
 
 
 def held_out(doc_id="doc_id", mod: int = 5, remainder: int = 0):
@@ -272,8 +278,5 @@ def language_report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def only_identified(docs: DataFrame, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs without texts that have no language, or none with ``least`` of the letters; columns stay."""
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"), rows)
-    own = tuple(c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "span_langs", "span_words"))
-    if len(own) < len(docs.columns):
-        raise ValueError("docs has a column that the labels would hide; rename it first")
-    found = identify(docs, model, keep=own)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in own))
+    found = identify(docs, model, keep=tuple(docs.columns), prefix="__")
+    return found.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

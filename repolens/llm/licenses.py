@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .common import schema_with
 
 THRESHOLD = 0.8
 
@@ -134,7 +135,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, kee
     ASCII letters and digits, A-Z lower-cased, and non-ASCII characters.
     """
     B.bounded_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "licenses array<string>, dice array<double>"])
+    schema = schema_with(docs, keep, "licenses array<string>, dice array<double>")
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text")).mapInArrow(_scan(compiled(templates), threshold), schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import settle, small
+from .common import schema_with, settle, small
 
 GRAM = 100
 SORT_BYTES = 1 << 20
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the given spans taken out of the text column."""
     rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "__new string"])
+    schema = schema_with(docs, rest, "__new string")
     joined = attach(docs, spans).select(*(F.col(f"`{c}`") for c in rest), F.col("text").alias("__text"), "__starts", "__ends")
     done = joined.mapInArrow(_rewrite, schema).withColumnRenamed("__new", "text")
     return done.select(*(F.col(f"`{c}`") for c in docs.columns))
