@@ -29,7 +29,7 @@ def finding_stream(files: DataFrame, allow: list[str] | None = None) -> DataFram
 
 def windowed_counts(events: DataFrame, at: str = "ts", by: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, key, n): events by tumbling window; state older than the watermark goes."""
-    window = F.window(F.col(at).cast("timestamp"), width)
+    window = F.window(F.col(at), width)
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(window, by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
