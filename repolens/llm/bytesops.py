@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 ARROW_ROWS = 1024
 ARROW_BYTES = 8 << 20
 

@@ -31,7 +31,7 @@ from . import bytesops as B
 from .common import schema_with, settle, small
 
 GRAM = 100
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _TOP = np.uint64(0xFFFFFFFF00000000)
 
