@@ -11,9 +11,10 @@ from .decontaminate import contamination_report
 from .langid import language_report
 from .licenses import license_report
 from .lm import lm_report
-from .mixing import mix
+from .mixing import BLOCK_ROWS, mix
 from .neardup import near_duplicates
 from .quality import QUALITY_SQL, quality
+from .sql import DECONTAMINATION_SQL, NEAR_DEDUP_SQL, mix_sql
 from .substrings import substring_report
 
 
@@ -78,5 +79,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mix_sources": mix_sql(MIX_WEIGHTS, 1, BLOCK_ROWS),
+        "op3_benchmark_decontamination": DECONTAMINATION_SQL,
+        "op6_minhash_near_dedup": NEAR_DEDUP_SQL,
         "op7_quality_rules": QUALITY_SQL,
     }
