@@ -27,12 +27,6 @@ def with_lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(*rest, F.posexplode(F.split(content, "\n", -1)).alias("__pos", "line")).select(*rest, (F.col("__pos") + 1).alias("line_no"), "line")
 
 
-def without_trailing(lines: DataFrame, content_column: str = "content") -> DataFrame:
-    """Lines as a reader of the file sees them: no empty line behind the last newline."""
-    last = Window.partitionBy("path")
-    return lines.withColumn("__last", F.max("line_no").over(last)).where(~((F.col("line_no") == F.col("__last")) & (F.col("line") == ""))).drop("__last")
-
-
 def newline_count(text: Column | str) -> Column:
     return F.size(F.split(column(text), "\n", -1)) - 1
 

@@ -43,14 +43,14 @@ def apply_spans(files: DataFrame, spans: DataFrame, old_length: int, new: str) -
     """(path, content, spans): each span (path, line, col) of old_length characters becomes new.
 
     Spans of a line apply from right to left, so that none moves another. Files without spans are left out.
+    Only spans are grouped; a file's text meets them in one join by path.
     """
     by_line = spans.groupBy("path", "line").agg(F.sort_array(F.collect_set("col"), asc=False).alias("cols"))
-    lines = with_lines(files.join(spans.select("path").distinct(), "path", "left_semi").select("path", "content"))
-    joined = lines.join(by_line.withColumnRenamed("line", "line_no"), ["path", "line_no"], "left")
+    by_file = by_line.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line", "cols"))).alias("at"), F.sum(F.size("cols")).alias("spans"))
     put = lambda text, c: F.concat(F.substring(text, F.lit(1), c), F.lit(new), F.substring(text, c + old_length + 1, F.lit(1 << 30)))
-    edited = F.when(F.col("cols").isNull(), F.col("line")).otherwise(F.aggregate("cols", F.col("line"), put))
-    rows = joined.select("path", F.struct("line_no", edited.alias("text")).alias("r"), F.coalesce(F.size("cols"), F.lit(0)).alias("n"))
-    return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["text"]), "\n").alias("content"), F.sum("n").alias("spans"))
+    none = F.array().cast("array<int>")
+    edited = F.transform(F.split("content", "\n", -1), lambda x, i: F.aggregate(F.coalesce(F.try_element_at("at", i + 1), none), x, put))
+    return files.select("path", "content").join(by_file, "path").select("path", F.array_join(edited, "\n").alias("content"), "spans")
 
 
 def replaced_first(files: DataFrame, old: str, new: str) -> DataFrame:
@@ -189,11 +189,15 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     by_line = placed.where(~F.col("cursor").isin("bof", "eof")).groupBy("path", "line_no").agg(texts(F.collect_list(inserted)).alias("before"), F.max((F.col("kind") == "delete").cast("int")).alias("gone"))
     at_end = lambda c: texts(F.collect_list(F.when(F.col("cursor") == c, F.struct("idx", "text"))))
     ends = placed.where(F.col("cursor").isin("bof", "eof")).groupBy("path").agg(at_end("bof").alias("bof"), at_end("eof").alias("eof"))
-    touched = files.join(edits.select("path").distinct(), "path", "left_semi").select("path", "content")
     none = F.array().cast("array<string>")
-    lines = with_lines(touched).join(by_line, ["path", "line_no"], "left")
-    own = F.when(F.coalesce(F.col("gone"), F.lit(0)) == 1, none).otherwise(F.array("line"))
-    laid = lines.select("path", F.struct("line_no", F.concat(F.coalesce("before", none), own).alias("texts")).alias("r")).groupBy("path").agg(F.flatten(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["texts"])).alias("body"))
+    by_file = by_line.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct("before", "gone").alias("e")))).alias("at"))
+    touched = files.select("path", "content").join(edits.select("path").distinct(), "path", "left_semi").join(by_file, "path", "left")
+
+    def laid_out(x, i):
+        e = F.try_element_at("at", i + 1)
+        return F.concat(F.coalesce(e["before"], none), F.when(F.coalesce(e["gone"], F.lit(0)) == 1, none).otherwise(F.array(x)))
+
+    laid = touched.select("path", F.flatten(F.transform(F.split("content", "\n", -1), laid_out)).alias("body"))
     joined = laid.join(ends, "path", "left").select("path", "body", F.coalesce("bof", none).alias("bof"), F.coalesce("eof", none).alias("eof"))
     first = F.when((F.size("bof") > 0) & (F.size("body") == 1) & (F.get("body", F.lit(0)) == ""), F.col("bof")).otherwise(F.concat("bof", "body"))
     joined = joined.select("path", "eof", first.alias("body"))

@@ -1,10 +1,13 @@
-"""Searching lines, with context."""
+"""Searching lines, with context.
+
+Context comes from the lines of a file's own row, so a search has no exchange.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import java, whole_word
@@ -34,30 +37,32 @@ def matching_lines(files: DataFrame, pattern: str, include: str | None = None) -
     return lines.where(F.col("line").rlike(found)) if found else lines.limit(0)
 
 
-def search(files: DataFrame, pattern: str, include: str | None = None, context: int = 0) -> DataFrame:
-    """(path, line_no, match, context_before, context_after): hits with up to ``context`` lines on each side.
-
-    Frames are windows over the lines of a file, taken before the filter.
-    """
+def _hits(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, lines, hit: line_no and line) of each match; a file's lines stay together, so nothing is shuffled."""
     found = checked(pattern)
+    split = files.select("path", F.split("content", "\n", -1).alias("lines"))
+    if found is None:
+        split = split.limit(0)
+    numbered = F.transform("lines", lambda x, i: F.when(x.rlike(found or ""), F.struct((i + 1).alias("line_no"), x.alias("line"))))
+    return split.select("path", "lines", F.explode(F.array_compact(numbered)).alias("hit"))
+
+
+def search(files: DataFrame, pattern: str, include: str | None = None, context: int = 0) -> DataFrame:
+    """(path, line_no, match, context_before, context_after): hits with up to ``context`` lines on each side."""
     if include is not None:
         files = files.where(included("path", include))
-    lines = with_lines(files.select("path", "content"))
-    by = Window.partitionBy("path").orderBy("line_no")
-    empty = F.array().cast("array<string>")
-    before = F.collect_list("line").over(by.rowsBetween(-context, -1)) if context else empty
-    after = F.collect_list("line").over(by.rowsBetween(1, context)) if context else empty
-    framed = lines.select("path", "line_no", F.col("line").alias("match"), before.alias("context_before"), after.alias("context_after"))
-    return framed.where(F.col("match").rlike(found)) if found else framed.limit(0)
+    at = F.col("hit.line_no")
+    before = F.slice("lines", F.greatest(at - context, F.lit(1)), F.least(at - 1, F.lit(context)))
+    after = F.slice("lines", at + 1, F.lit(context))
+    return _hits(files, pattern).select("path", at.alias("line_no"), F.col("hit.line").alias("match"), before.alias("context_before"), after.alias("context_after"))
 
 
 def search_file(files: DataFrame, path: str, pattern: str, context: int = 0) -> DataFrame:
     """(path, line_no, match, context) in one file; context: line numbers and lines around the hit, itself included."""
-    found = checked(pattern)
-    lines = with_lines(files.where(F.col("path") == path).select("path", "content"))
-    frame = Window.partitionBy("path").orderBy("line_no").rowsBetween(-context, context)
-    framed = lines.select("path", "line_no", F.col("line").alias("match"), F.collect_list(F.struct("line_no", "line")).over(frame).alias("context"))
-    return framed.where(F.col("match").rlike(found)) if found else framed.limit(0)
+    at = F.col("hit.line_no")
+    low = F.greatest(at - context, F.lit(1))
+    frame = F.transform(F.slice("lines", low, at + context - low + 1), lambda x, i: F.struct((i + low).alias("line_no"), x.alias("line")))
+    return _hits(files.where(F.col("path") == path), pattern).select("path", at.alias("line_no"), F.col("hit.line").alias("match"), frame.alias("context"))
 
 
 def word_references(files: DataFrame, symbol: str, most: int = 120) -> DataFrame:
