@@ -87,6 +87,11 @@ def anchors(piece: B.Slice, least: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _find_anchors(least: int, gram: int):
+    """Rows (h, c, d, k, lo, more, n): a context's anchor and digest, its first window in a text, and further ones.
+
+    A text that repeats one pattern has very many equal contexts; they are one row.
+    """
+
     def run(batches):
         for batch in batches:
             d, k = batch.column("d"), batch.column("k")
@@ -94,10 +99,18 @@ def _find_anchors(least: int, gram: int):
                 text, start, count, h = anchors(piece, least, gram)
                 raw = memoryview(np.ascontiguousarray(piece.data))
                 digest = b"".join(hashlib.blake2b(raw[s : s + c + least - 1], digest_size=8).digest() for s, c in zip(start.tolist(), count.tolist()))
-                rows = pa.array(text + piece.first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(B.signed(h)), pa.array(np.frombuffer(digest, np.int64)), d.take(rows), k.take(rows), pa.array(start - piece.off[text]), pa.array(count)], ["h", "c", "d", "k", "lo", "n"]
-                )
+                c = np.frombuffer(digest, np.int64)
+                by = np.lexsort((start, c, h, text))
+                text, start, count, h, c = text[by], start[by], count[by], h[by], c[by]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                first = np.flatnonzero(new)
+                size = np.diff(np.append(first, len(text)))
+                lo = start - piece.off[text]
+                offsets = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lo[~new]), mask=pa.array(size == 1))
+                rows = pa.array(text[first] + piece.first)
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(h[first])), pa.array(c[first]), d.take(rows), k.take(rows), pa.array(lo[first]), more, pa.array(count[first])], ["h", "c", "d", "k", "lo", "more", "n"])
 
     return run
 
@@ -275,25 +288,23 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
         raise ValueError(f"least must be more than gram ({gram})")
     B.bounded_batches(docs.sparkSession)
     keyed = with_key(docs).where(F.octet_length("text") >= least).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text")
-    found = settle(keyed.mapInArrow(_find_anchors(least, gram), "h bigint, c bigint, d bigint, k bigint, lo bigint, n bigint"))
-    groups = found.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("times > 1")
-    again = found.join(groups.select("h", (F.col("c_low") == F.col("c_high")).alias("whole")), "h")
-    again = settle(again)
-    whole = again.where("whole").select("d", "k", "lo", (F.col("lo") + F.col("n") + least - 1).alias("hi"))
+    found = settle(keyed.mapInArrow(_find_anchors(least, gram), "h bigint, c bigint, d bigint, k bigint, lo bigint, more array<bigint>, n bigint"))
+    times = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
+    groups = found.groupBy("h").agg(times.alias("times"), F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("times > 1")
+    again = settle(found.join(groups.select("h", (F.col("c_low") == F.col("c_high")).alias("whole")), "h"))
+    every = F.when(F.col("more").isNull(), F.array("lo")).otherwise(F.concat(F.array("lo"), "more"))
+    whole = again.where("whole").select("d", "k", every.alias("lo"), F.transform(every, lambda x: x + F.col("n") + (least - 1)).alias("hi"))
     open_ = again.where("NOT whole")
-    classes = open_.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "k", "lo", "n")).alias("at"))
+    classes = open_.groupBy("h", "c").agg(times.alias("copies"), F.min(F.struct("d", "k", "lo", "n")).alias("at"))
     wanted = settle(
         classes.groupBy(F.col("at.d").alias("d"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("h", "c", "copies", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))).alias("wanted"))
     )
     n_classes = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     bodies = keyed.join(small(wanted, n_classes), ["d", "k"]).select("text", "wanted").mapInArrow(_extract(least), "h bigint, c bigint, copies bigint, body binary")
-    solved = bodies.repartition("h").sortWithinPartitions("h").mapInArrow(_expand(least), "h bigint, c bigint, starts array<bigint>, ends array<bigint>")
-    parts = (
-        open_.join(solved, ["h", "c"])
-        .select("d", "k", "lo", F.explode(F.arrays_zip("starts", "ends")).alias("w"))
-        .select("d", "k", (F.col("lo") + F.col("w.starts")).alias("lo"), (F.col("lo") + F.col("w.ends") + least - 1).alias("hi"))
-    )
-    gathered = whole.unionByName(parts).distinct().groupBy("d", "k").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    solved = bodies.repartition("h").sortWithinPartitions("h").mapInArrow(_expand(least), "h bigint, c bigint, starts array<bigint>, ends array<bigint>").where(F.size("starts") > 0)
+    placed = lambda ends, by: F.flatten(F.transform("los", lambda x: F.transform(ends, lambda w: x + w + by)))
+    parts = open_.join(solved, ["h", "c"]).select("d", "k", every.alias("los"), "starts", "ends").select("d", "k", placed("starts", 0).alias("lo"), placed("ends", least - 1).alias("hi"))
+    gathered = whole.unionByName(parts).distinct().groupBy("d", "k").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     return settle(gathered.mapInArrow(_merge(), "d bigint, k bigint, starts array<bigint>, ends array<bigint>"))
 
 
