@@ -23,6 +23,7 @@ TRAIN_ROWS = 20_000
 _TRAIN_PARTS = 12
 _TABLE = 1 << 16
 _SIZES = (2, 3, 4)
+_GAP = max(_SIZES)
 #: Nats: what a change of language costs, and the most that one word can say against one.
 SWITCH = 10.0
 CLIP = 6.0
@@ -78,15 +79,18 @@ def _distinct(piece: B.Slice, w: B.Words) -> _Distinct:
     data = B.LOWER[piece.data]
     _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
     start, length = w.start[index], (w.end - w.start)[index]
-    first = np.cumsum(length + 2) - (length + 2)
-    padded = np.full(int((length + 2).sum()) + max(_SIZES), 0x20, np.uint32)
-    padded[B.ranges(first + 1, length)] = data[B.ranges(start, length)]
-    n = len(padded) - max(_SIZES)
+    # a blank, the word, and zeros, so that no n-gram reaches into another word
+    base = np.cumsum(length + _GAP) - (length + _GAP)
+    padded = np.zeros(int((length + _GAP).sum()), np.uint32)
+    padded[base] = 0x20
+    padded[B.ranges(base + 1, length)] = data[B.ranges(start, length)]
+    at = B.ranges(base, length + 1)
+    first = np.cumsum(length + 1) - (length + 1)
     cells = []
     for size in _SIZES:
-        code = np.full(n, size, np.uint64)
+        code = np.full(len(at), size, np.uint64)
         for j in range(size):
-            code = code * np.uint64(257) + padded[j : n + j]
+            code = code * np.uint64(257) + padded[at + j]
         cells.append((B.mix64(code) & np.uint64(_TABLE - 1)).astype(np.int64))
     starts = np.zeros(len(piece.data) + 1, np.int64)
     np.cumsum((piece.data & 0xC0) != 0x80, out=starts[1:])

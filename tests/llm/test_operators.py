@@ -328,6 +328,17 @@ def test_language_held_out_accuracy_and_spans(spark):
     assert [got[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and got[5]["score"] == 0
 
 
+def test_language_labels_do_not_depend_on_slices():
+    r = np.random.default_rng(13)
+    model = langid.Model(["a", "b", "c"], np.log(r.random((langid._TABLE, 3))).astype(np.float32), np.ones((len(langid._NAMES), 3), bool), 0)
+    texts = pa.array([prose(i, 5 + i) for i in range(60)])
+    both = []
+    for most in (200, 1 << 20):
+        parts = [langid.label_slice(piece, model) for piece in B.slices(texts, most)]
+        both.append([(x, round(float(y), 9)) for labels, share, *_ in parts for x, y in zip(labels, share)])
+    assert both[0] == both[1]
+
+
 def test_viterbi_equals_all_label_sequences():
     import itertools
 
