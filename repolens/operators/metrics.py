@@ -39,6 +39,11 @@ def gate(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("tools"), F.coalesce(F.bool_and(F.col("status") == "ok"), F.lit(True)).alias("ok"), F.coalesce(F.sum("elapsed"), F.lit(0.0)).alias("elapsed"))
 
 
+def exit_code(ok: Column) -> Column:
+    """0 if all is well, else 1."""
+    return F.when(ok, 0).otherwise(1)
+
+
 def duration(seconds: Column) -> Column:
     """45s, or 2m 5s."""
     whole = F.floor(seconds)

@@ -10,8 +10,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import replacement, whole_word
+from ..functions.regex import literal, replacement, whole_word
 from ..functions.text import line_hash, with_lines
+from .symbols import blanked
 
 
 def renamed(files: DataFrame, old: str, new: str) -> DataFrame:
@@ -39,6 +40,23 @@ def word_spans(files: DataFrame, word: str) -> DataFrame:
     return lines.where(F.col("line").contains(word)).select("path", F.col("line_no").alias("line"), F.explode(starts).alias("col"))
 
 
+def typescript_spans(files: DataFrame, symbol: str) -> DataFrame:
+    """(path, line, col, kind) of a symbol in TypeScript files, outside strings and comments.
+
+    Neither a dollar sign nor a dot before it, nor a word character or dollar sign behind it. kind: definition
+    behind a declaring word, import on an import line, else reference.
+    """
+    pattern = r"(?d)(?<![\p{L}\p{N}_$.])" + literal(symbol) + r"(?![\p{L}\p{N}_$])"
+    clear = files.where(F.col("lang") == "ts").select("path", blanked(F.col("content")).alias("content"))
+    lines = with_lines(clear).where(F.col("line").contains(symbol))
+    parts = F.split(F.regexp_replace("line", pattern, "\x01$0"), "\x01", -1)
+    before = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), ""))
+    found = lines.where(F.size(parts) > 1).select("path", "line_no", "line", F.explode(before).alias("head"))
+    defined = F.col("head").rlike(r"(function|class|interface|type|enum|const|let|var)\s+\*?\s*$")
+    kind = F.when(defined, "definition").when(F.col("line").rlike(r"^\s*import\b"), "import").otherwise("reference")
+    return found.select("path", F.col("line_no").alias("line"), F.length("head").alias("col"), kind.alias("kind"))
+
+
 def apply_spans(files: DataFrame, spans: DataFrame, old_length: int, new: str) -> DataFrame:
     """(path, content, spans): each span (path, line, col) of old_length characters becomes new.
 

@@ -82,6 +82,12 @@ def excluding_definitions(references: DataFrame, definitions: DataFrame) -> Data
     return references.join(definitions.select("path", "line_no").distinct(), ["path", "line_no"], "left_anti")
 
 
+def location(argument: str) -> tuple[str, int | None]:
+    """path and line of an argument such as src/a.py:12; no line if there is none."""
+    m = re.fullmatch(r"(.+?):(\d+)", argument)
+    return (m[1], int(m[2])) if m else (argument, None)
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of a total order; n of 0 or less: all."""
     ranked = df.orderBy(*order)

@@ -8,8 +8,9 @@ from pyspark.sql.functions import udtf
 
 from ..functions.text import first_by
 from ..sources.files import is_test
+from . import pysyntax, symbols
 from .graph import checkpointed
-from .search import tokens
+from .search import tokens, word_references
 
 # Words before a parenthesis that are no C++ functions.
 CPP_NOT_CALLED = (
@@ -85,6 +86,15 @@ def occurrences(files: DataFrame) -> DataFrame:
     return tokens(files).select(F.col("token").alias("symbol"), "path", "line_no").distinct()
 
 
+def token_calls(files: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(caller, symbol, path, line): every word of every line with the scope around it, "" at module level.
+
+    The index form of a call graph: it needs no syntax beyond scopes, so it serves every language.
+    """
+    placed = enclosing(occurrences(files), scopes)
+    return placed.select(F.coalesce("scope", F.lit("")).alias("caller"), "symbol", "path", F.col("line_no").alias("line")).where("caller != symbol")
+
+
 def callers(calls: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """(root, depth, caller, symbol): breadth-first upward from symbols; every caller once, at its least depth.
 
@@ -137,6 +147,28 @@ def impact(definitions: DataFrame, references: DataFrame) -> DataFrame:
     return part(defs, "definition").unionByName(part(elsewhere, "reference")).unionByName(part(refs.where(is_test("path")), "test"))
 
 
+def definitions_in(files: DataFrame, symbol: str | None = None) -> DataFrame:
+    """(path, type, name, line): definitions of all languages, of one symbol or of all, each once."""
+    py = pysyntax.facts(files).where((F.col("fact") == "def") & (F.col("kind") != "variable_more")).select("path", F.col("kind").alias("type"), "name", "line")
+    other = symbols.cpp_definitions(files).unionByName(symbols.ts_definitions(files)).select("path", "type", "name", "line")
+    found = py.unionByName(other)
+    found = found if symbol is None else found.where(F.col("name") == symbol)
+    return first_by(found, ["path", "name", "line"], [F.col("type")])
+
+
+def references_in(files: DataFrame, symbol: str) -> DataFrame:
+    """(path, type, line): from the syntax tree in Python files, whole words elsewhere."""
+    py = pysyntax.references(pysyntax.facts(files), symbol)
+    words = word_references(files.where("lang != 'py'"), symbol).select("path", "type", F.col("line_no").alias("line"))
+    return py.unionByName(words)
+
+
+def tags_in(files: DataFrame) -> DataFrame:
+    """(path, name, kind, line): the symbol index of all languages."""
+    other = symbols.cpp_tags(files).unionByName(symbols.ts_tags(files)).select("path", "name", "kind", "line")
+    return pysyntax.tags(pysyntax.facts(files)).unionByName(other)
+
+
 def numbered(found: DataFrame, most: int) -> DataFrame:
     """The first rows of each section, with how many more there are."""
     by = Window.partitionBy("section").orderBy("path", "line", "type")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import deadcode, graph, history, lint, markers, metrics, pysyntax, rewrite, search, secrets, symbols, trace, verify
+from ..operators import deadcode, graph, history, lint, markers, metrics, pysyntax, render, rewrite, search, secrets, symbols, trace, verify
 from ..sources import files as S
 from . import fixtures as X
+from . import surface
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -154,8 +155,7 @@ def token_top_k(spark, sf_dir):
     SELECT r.path, CAST(r.line_no AS INT) AS line_no FROM refs r ANTI JOIN defs d USING (path, line_no)"""
 )
 def definition_exclusion(spark, sf_dir):
-    lines = search.occurrences if hasattr(search, "occurrences") else trace.occurrences
-    occ = lines(docs(spark, sf_dir))
+    occ = trace.occurrences(docs(spark, sf_dir))
     pick = lambda w: occ.where(F.col("symbol") == w).select("path", "line_no")
     return search.excluding_definitions(pick("the"), pick("and"))
 
@@ -752,6 +752,67 @@ def dedupe_first(spark, sf_dir):
     return T.first_by(items, ["l_orderkey"], [F.col("l_partkey"), F.col("l_linenumber")])
 
 
+@query(X.values([("mod.py", "middle", 5), ("mod.py", "", 1)], "path, caller, line"))
+def token_calls_fixture(spark, sf_dir):
+    files = X.code_files(spark, ("mod.py",))
+    found = trace.token_calls(files, pysyntax.scopes(pysyntax.facts(files)))
+    where_used = found.where("symbol = 'bottom'").select("path", "caller", "line")
+    # the line of the definition belongs to the function itself, so only its caller is left, and the module for def
+    return where_used.unionByName(found.where("symbol = 'def' AND line = 1").select("path", F.lit("").alias("caller"), "line"))
+
+
+@query(X.values([("definition", "panel.ts", 5, "function"), ("reference", "defs.py", 10, "call"), ("reference", "engine.cpp", 6, "reference"), ("reference", "panel.ts", 2, "reference"), ("definition", "defs.py", 6, "function")], "section, path, line, type"))
+def impact_languages(spark, sf_dir):
+    files = X.code_files(spark, ("defs.py", "engine.cpp", "panel.ts"))
+    return trace.impact(trace.definitions_in(files, "helper").select("path", "type", "line"), trace.references_in(files, "helper"))
+
+
+@query(X.values([("t.ts", 1, 9, "import"), ("t.ts", 2, 6, "definition"), ("t.ts", 2, 14, "reference"), ("t.ts", 3, 0, "reference")], "path, line, col, kind"))
+def refactor_typescript(spark, sf_dir):
+    text = "import { foo } from './foo';\nconst foo = a(foo, b.foo, $foo, 'foo');\nfoo(); // foo\n"
+    files = spark.createDataFrame([("t.ts", text)], "path string, content string").withColumn("lang", F.lit("ts"))
+    return rewrite.typescript_spans(files, "foo")
+
+
+@query(X.values([("## Features\n- add search (a1b2c3d)\n- **auth,api**: drop old tokens (breaking) (c3d4e5f)\n## Bug Fixes\n- **core**: handle nulls (b2c3d4e)\n## Documentation\n- explain: twice (f6a7b8c)\n## Other\n- plain message (e5f6a7b)",)], "report"))
+def changelog_text(spark, sf_dir):
+    return render.changelog_text(history.parse_commits(X.lines_of(spark, X.COMMITS)))
+
+
+@query(X.values([("E src/b.js:3:7 Unexpected token\nE src/c.ts:4:9 TS2304: Cannot find name\nE src/d.py:12 Incompatible types\nE src/a.py:10:5 line too long\nC src/e.py:7:1 Invalid name\n? src/f.py:9 something odd",)], "report"))
+def lint_text(spark, sf_dir):
+    return render.lint_text(lint.parse_lines(X.lines_of(spark, X.LINT).withColumnRenamed("line", "text")), "seq")
+
+
+@query(X.values([("a.py:1 [TODO] x\na.py:3 [FIXME] (bob) y\na.py:4 [NOTE] next line\na.py:7 [HACK] z",)], "report"))
+def markers_text(spark, sf_dir):
+    return render.markers_text(markers.markers(spark.createDataFrame([("a.py", X.MARKED)], "path string, content string")))
+
+
+@query(f"WITH {_CHURN}, top AS (SELECT file, count(*) AS commits FROM log GROUP BY file ORDER BY commits DESC, file LIMIT 5) SELECT string_agg(lpad(commits::VARCHAR, 5, ' ') || ' ' || repeat('█', least(commits, 40)::INT) || ' ' || file, chr(10) ORDER BY commits DESC, file) AS report FROM top")
+def churn_text(spark, sf_dir):
+    return render.churn_text(history.churn(_log(spark, sf_dir), top=5, tie="file"))
+
+
+@query(X.values([("definition (1)\n  mod.py:7 function\nreference (3)\n  mod.py:14 call\n  test_mod.py:1 import\n  … 1 more\ntest (2)\n  test_mod.py:1 import\n  test_mod.py:4 call",)], "report"))
+def impact_text(spark, sf_dir):
+    return render.impact_text(trace.numbered(impact_fixture(spark, sf_dir), 2))
+
+
+@query(X.values([("LIMIT: defs.py:12\nMAX_ITEMS: engine.cpp:2",)], "report"))
+def index_text(spark, sf_dir):
+    return render.index_text(trace.tags_in(X.code_files(spark, ("defs.py", "engine.cpp"))).where("name IN ('LIMIT', 'MAX_ITEMS')"))
+
+
+@query(X.values([(2, "py", 7)], "files, lang, defs"))
+def sql_surface(spark, sf_dir):
+    """The same facts through SQL: views over a file set and the table function for syntax trees."""
+    surface.register(X.code_files(spark, ("mod.py", "test_mod.py")), "fx_")
+    return spark.sql(
+        "SELECT count(DISTINCT f.path) AS files, f.lang, count_if(p.fact = 'def') AS defs FROM fx_files f, LATERAL py_facts(f.content) p GROUP BY f.lang"
+    )
+
+
 # --- verification
 
 
