@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import java
+from ..functions.workers import importable
 from ..sources.files import SOURCE_EXTS
 
 # Import statements.
@@ -189,6 +190,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         .where("scc = scc2")
         .select("scc", "src", "dst")
     )
+    importable(edges.sparkSession)
     return inside.groupBy("scc").applyInPandas(_back_edges, "cycle array<string>")
 
 

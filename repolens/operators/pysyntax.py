@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.workers import importable
+
 FACTS = "fact string, kind string, name string, line int, end_line int, scope string, depth int, col int"
 
 
@@ -86,11 +88,13 @@ class PyFacts:
 
 
 def register(spark) -> None:
+    importable(spark)
     spark.udtf.register("py_facts", PyFacts)
 
 
 def facts(files: DataFrame) -> DataFrame:
     """(path, fact, kind, name, line, end_line, scope, depth, col) of the Python files of a set."""
+    importable(files.sparkSession)
     return files.where(F.col("lang") == "py").select("path", "content").lateralJoin(PyFacts(F.col("content").outer())).drop("content")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import literal, replacement, whole_word
 from ..functions.text import line_hash, with_lines
+from ..functions.workers import importable
 from .symbols import blanked
 
 
@@ -238,6 +239,7 @@ def apply_sections(files: DataFrame, path: str, text: str) -> DataFrame:
 
 def unified_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, diff) of files that differ, three lines of context."""
+    importable(before.sparkSession)
     pairs = before.select("path", F.col("content").alias("old")).join(after.select("path", F.col("content").alias("new")), "path").where("old != new")
     return pairs.mapInPandas(_diffs, "path string, diff string")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.text import first_by
+from ..functions.workers import importable
 from ..sources.files import is_test
 from . import pysyntax, symbols
 from .graph import checkpointed
@@ -56,6 +57,7 @@ class CppBlocks:
 
 def cpp_blocks(files: DataFrame) -> DataFrame:
     """(path, row, name, line, end_line) of the C++ files: scopes, and call:NAME rows inside them."""
+    importable(files.sparkSession)
     return files.where(F.col("lang") == "cpp").select("path", "content").lateralJoin(CppBlocks(F.col("content").outer())).drop("content")
 
 
