@@ -68,9 +68,18 @@ def _chunks(batches):
                     digest.append(hashlib.blake2b(raw[at:end], digest_size=16).digest())
                     at = end
             both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            rows = pa.array(np.array(owner, np.int64) + piece.first)
+            owner, start, size, d1, d2 = np.array(owner, np.int64), np.array(start, np.int32), np.array(size, np.int32), both[:, 0], both[:, 1]
+            # equal chunks of a text are one row, so a text that repeats one pattern does not fill the shuffle
+            by = np.lexsort((start, d2, d1, owner))
+            owner, start, size, d1, d2 = owner[by], start[by], size[by], d1[by], d2[by]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(owner)))
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times - 1)]).astype(np.int32)), pa.array(start[~new]), mask=pa.array(times == 1))
+            rows = pa.array(owner[first] + piece.first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d").take(rows), batch.column("k").take(rows), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["d", "k", "d1", "d2", "lo", "n"]
+                [batch.column("d").take(rows), batch.column("k").take(rows), pa.array(d1[first]), pa.array(d2[first]), pa.array(start[first]), more, pa.array(size[first])], ["d", "k", "d1", "d2", "lo", "more", "n"]
             )
 
 
@@ -104,10 +113,14 @@ def repeated_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     d, k: coalesce(doc_id, -1) and xxhash64(text). Rows with equal ids and texts share one entry. Eager.
     """
     B.bounded_batches(docs.sparkSession)
-    rows = with_key(docs.where("text != ''")).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text").mapInArrow(_chunks, "d bigint, k bigint, d1 bigint, d2 bigint, lo int, n int")
-    again = rows.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("d", "k", "lo")).alias("at")).where("times > 1").drop("times")
-    found = rows.join(again, ["d1", "d2"]).select("d", "k", "lo", "n", (F.struct("d", "k", "lo") == F.col("at")).alias("first"))
-    return settle(found.groupBy("d", "k").agg(F.collect_list(F.struct("lo", "n", "first")).alias("parts")).mapInArrow(_runs(run_bytes), "d bigint, k bigint, starts array<bigint>, ends array<bigint>, n_repeated bigint"))
+    rows = with_key(docs.where("text != ''")).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text").mapInArrow(_chunks, "d bigint, k bigint, d1 bigint, d2 bigint, lo int, more array<int>, n int")
+    times = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
+    again = rows.groupBy("d1", "d2").agg(times.alias("times"), F.min(F.struct("d", "k", "lo")).alias("at")).where("times > 1").drop("times")
+    part = lambda lo, first: F.struct(lo.alias("lo"), F.col("n").alias("n"), first.alias("first"))
+    later = F.transform(F.coalesce("more", F.array().cast("array<int>")), lambda x: part(x, F.lit(False)))
+    parts = F.concat(F.array(part(F.col("lo"), F.struct("d", "k", "lo") == F.col("at"))), later)
+    found = rows.join(again, ["d1", "d2"]).select("d", "k", parts.alias("parts"))
+    return settle(found.groupBy("d", "k").agg(F.flatten(F.collect_list("parts")).alias("parts")).mapInArrow(_runs(run_bytes), "d bigint, k bigint, starts array<bigint>, ends array<bigint>, n_repeated bigint"))
 
 
 def chunk_report(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
