@@ -32,6 +32,7 @@ from .common import schema_with, settle, small
 
 GRAM = 100
 SORT_BYTES = 1 << 19
+SORT_CLASSES = 6000
 _ODD = 0x9E3779B97F4A7C15
 _TOP = np.uint64(0xFFFFFFFF00000000)
 
@@ -241,6 +242,7 @@ def _expand(least: int):
                     seen = set()
                     if size >= SORT_BYTES:
                         yield solve(h, c, copies, body)
+                        B.trim()
                         h, c, copies, body, size = [], [], [], [], 0
                 if y in seen:
                     continue
@@ -252,6 +254,7 @@ def _expand(least: int):
                 size += len(text) * min(m, 2)
         if h:
             yield solve(h, c, copies, body)
+            B.trim()
 
     return run
 
@@ -301,7 +304,8 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
     )
     n_classes = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     bodies = keyed.join(small(wanted, n_classes), ["d", "k"]).select("text", "wanted").mapInArrow(_extract(least), "h bigint, c bigint, copies bigint, body binary")
-    solved = bodies.repartition("h").sortWithinPartitions("h").mapInArrow(_expand(least), "h bigint, c bigint, starts array<bigint>, ends array<bigint>").where(F.size("starts") > 0)
+    # the suffix stage is heavy for its bytes, so its partitions follow the number of contexts
+    solved = bodies.repartition(1 + n_classes // SORT_CLASSES, "h").sortWithinPartitions("h").mapInArrow(_expand(least), "h bigint, c bigint, starts array<bigint>, ends array<bigint>").where(F.size("starts") > 0)
     placed = lambda ends, by: F.flatten(F.transform("los", lambda x: F.transform(ends, lambda w: x + w + by)))
     parts = open_.join(solved, ["h", "c"]).select("d", "k", every.alias("los"), "starts", "ends").select("d", "k", placed("starts", 0).alias("lo"), placed("ends", least - 1).alias("hi"))
     gathered = whole.unionByName(parts).distinct().groupBy("d", "k").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
