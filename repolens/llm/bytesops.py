@@ -10,19 +10,21 @@ the sum of its cells, finished with an avalanche mix. Two different words collid
 
 from __future__ import annotations
 
-import os
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
+from ..functions.workers import importable
+
 SLICE_BYTES = 1 << 20
-ARROW_ROWS = 1024
-ARROW_BYTES = 8 << 20
+ARROW_ROWS = 512
+ARROW_BYTES = 4 << 20
 
 _POSITIONS = 64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -72,6 +74,12 @@ class Slice:
         return len(self.off) - 1
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that idle workers do not keep their peak."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,6 +103,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
         to = min(to, n)
         yield Slice(at, raw[off[at] : off[to]], off[at : to + 1] - off[at])
         at = to
+    trim()
 
 
 @dataclass
@@ -177,11 +186,8 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def bounded_batches(spark) -> None:
     """Arrow batches small enough that a worker's memory does not depend on how long the texts are.
 
-    Also puts the folder of this package on the workers' import path, for sessions started elsewhere.
+    Also lets the workers import this package in sessions started elsewhere.
     """
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if (root := str(Path(__file__).resolve().parents[2])) not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
