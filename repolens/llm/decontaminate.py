@@ -160,6 +160,10 @@ def _extended(batches):
         )
 
 
+def _key():
+    return F.xxhash64(F.col("text"), F.col("doc_id").cast("bigint"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, items, k): the words of each document inside any occurrence of an item's window.
 
@@ -178,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bitmap[row["word"]] = row["bits"]
     lengths = [r["m"] for r in found.where("m > 0").select("m").distinct().collect()]
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text", "doc_id").alias("k"), "text").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key().alias("k"), "text").mapInArrow(
         _candidates(bitmap.view(np.uint64), lengths), "doc_id bigint, k bigint, n_words bigint, fp bigint, pos bigint, at int, ctx string, m int"
     )
     hits = rows.join(items, ["fp", "m"], "left").select("doc_id", "k", "n_words", "pos", "at", "ctx", "m", "i_at", "i_ctx", "item_ids").mapInArrow(_extended, "doc_id bigint, k bigint, n_words bigint, lo bigint, hi bigint, item_ids array<string>")
@@ -204,5 +208,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item; columns stay as they are."""
     bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("k").alias("__k")).distinct()
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("text"), F.col("doc_id").cast("bigint")))
+    keyed = docs.withColumn("__k", _key())
     return keyed.join(bad, "__k", "left_anti").drop("__k").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -304,6 +304,8 @@ def test_contamination_equals_brute_force(spark, docs):
         want.add((r["doc_id"], len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
     got = decontaminate.contamination_report(docs, bench)
     assert by_row(got) == sorted(want, key=repr)
+    small_ids = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert decontaminate.decontaminated(small_ids, bench).count() == decontaminate.decontaminated(docs, bench).count()
     left = decontaminate.decontaminated(docs, bench)
     bad = {d for d, _, n, *_ in want if n}
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {d for d, *_ in want} - bad
