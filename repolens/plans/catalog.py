@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import deadcode, graph, history, lint, markers, metrics, pysyntax, render, rewrite, search, secrets, symbols, trace, verify
 from ..sources import files as S
+from ..streaming import streams
 from . import fixtures as X
 from . import surface
 
@@ -947,6 +949,14 @@ def hashline_diff(spark, sf_dir):
     return rewrite.unified_diff(files, rewrite.renamed(files, "worthless", "precious"))
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows_stream(spark, sf_dir):
+    """Hourly counts from a stream over the events table, run until it has read all that is there."""
+    events = streams.table_stream(spark, sf_dir, "events.parquet", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    counted = streams.drained(streams.windowed_counts(events), f"event_windows_{uuid.uuid4().hex}", mode="complete")
+    return counted.select(F.date_format("start", "yyyy-MM-dd HH:00").alias("hour"), "event_type", "n")
+
+
 # --- metrics and reports
 
 

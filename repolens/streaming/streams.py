@@ -6,9 +6,12 @@ under a watermark.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint_folder
 from ..operators.markers import markers
 from ..operators.secrets import findings
 
@@ -33,8 +36,19 @@ def windowed_counts(events: DataFrame, at: str = "ts", by: str = "event_type", w
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(window, by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now, as a batch DataFrame: one run with availableNow into a memory table."""
+def table_stream(spark: SparkSession, folder: str, file: str, schema: str) -> DataFrame:
+    """Rows of one table of a folder of Parquet tables, as its files appear."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+
+
+def drained(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
+    """Everything that is there now, as a batch DataFrame: one run with availableNow into a memory table.
+
+    State goes to a folder of its own in the session's checkpoint folder unless another is given. The memory
+    table is for results of a bounded size, such as counts; streams of rows go to a sink of their own.
+    """
+    if checkpoint is None:
+        checkpoint = f"{checkpoint_folder(stream.sparkSession)}/stream-{uuid.uuid4()}"
     query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
