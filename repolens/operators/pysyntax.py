@@ -112,14 +112,25 @@ def definitions(found: DataFrame, symbol: str) -> DataFrame:
 def references(found: DataFrame, symbol: str) -> DataFrame:
     """(path, type, line): calls, attributes, imports, and plain names on lines without a call or definition of it."""
     mine = found.where((F.col("name") == symbol) | ((F.col("fact") == "call") & F.col("name").endswith("." + symbol)))
-    call = mine.where(F.col("fact") == "call").select("path", F.lit("call").alias("type"), "line").where(F.lit(True))
-    plain_call = mine.where((F.col("fact") == "call") & (F.col("kind") == "call")).select("path", "line")
-    defined = mine.where((F.col("fact") == "def") & ~F.col("kind").startswith("variable")).select("path", "line")
-    names = mine.where((F.col("fact") == "ref") & F.col("kind").isin("load", "store")).select("path", F.lit("reference").alias("type"), "line").join(plain_call.unionByName(defined).distinct(), ["path", "line"], "left_anti")
-    attributes = mine.where((F.col("fact") == "ref") & F.col("kind").startswith("attribute")).select("path", F.lit("attribute").alias("type"), "line")
-    imported = mine.where(F.col("fact") == "import").select("path", F.lit("import").alias("type"), "line")
-    calls = call.join(attributes.select("path", "line").distinct(), ["path", "line"], "left_anti")
-    return calls.select("path", "type", "line").unionByName(names.select("path", "type", "line")).unionByName(attributes).unionByName(imported).distinct()
+    fact, kind = F.col("fact"), F.col("kind")
+    flag = lambda condition, name: F.max(condition).alias(name)
+    lines = mine.groupBy("path", "line").agg(
+        flag(fact == "call", "called"),
+        flag((fact == "call") & (kind == "call"), "called_plainly"),
+        flag((fact == "def") & ~kind.startswith("variable"), "defined"),
+        flag((fact == "ref") & kind.isin("load", "store"), "named"),
+        flag((fact == "ref") & kind.startswith("attribute"), "attribute"),
+        flag(fact == "import", "imported"),
+    )
+    types = F.array_compact(
+        F.array(
+            F.when(F.col("called") & ~F.col("attribute"), "call"),
+            F.when(F.col("named") & ~F.col("called_plainly") & ~F.col("defined"), "reference"),
+            F.when(F.col("attribute"), "attribute"),
+            F.when(F.col("imported"), "import"),
+        )
+    )
+    return lines.select("path", F.explode(types).alias("type"), "line")
 
 
 def calls(found: DataFrame) -> DataFrame:

@@ -227,10 +227,11 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 def apply_sections(files: DataFrame, path: str, text: str) -> DataFrame:
     """(path, content) of one file after an edit text: each section edits what the one before has left."""
     spark = files.sparkSession
-    now = files.where(F.col("path") == path).select("path", "content")
+    # the path comes from rows, not from a literal, which would turn the joins by path into cross joins
+    now = files.join(spark.createDataFrame([(path,)], "path string"), "path", "left_semi").select("path", "content")
     rows = parse_edits(text)
     for section in sorted({r[0] for r in rows}):
-        edits = spark.createDataFrame([r for r in rows if r[0] == section], EDIT_SCHEMA).withColumn("path", F.lit(path))
+        edits = spark.createDataFrame([(*r, path) for r in rows if r[0] == section], EDIT_SCHEMA + ", path string")
         if not (wrong := mismatches(now, edits).limit(1)).isEmpty():
             raise EditError(f"anchors do not match, such as {wrong.first().asDict()}")
         now = apply_edits(now, edits)
