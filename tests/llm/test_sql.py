@@ -41,3 +41,9 @@ def test_contract_columns(spark, name):
 
 def test_ten_operators_are_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op7_quality_rules"])
+def test_native_plans_have_no_python(spark, name):
+    plan = queries.queries()[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
