@@ -280,7 +280,12 @@ def language_report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def only_identified(docs: DataFrame, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs without texts that have no language, or none with ``least`` of the letters; columns stay."""
+    """docs without texts that have no language, or none with ``least`` of the letters; columns stay.
+
+    Without a single labelled row there is no model to reject anything by, and all of docs stays.
+    """
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"), rows)
+    if not model.languages:
+        return docs
     found = identify(docs, model, keep=tuple(docs.columns), prefix="__")
     return found.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

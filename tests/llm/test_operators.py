@@ -360,6 +360,8 @@ def test_language_stage_keeps_columns(docs):
     out = langid.only_identified(docs)
     assert out.columns == docs.columns
     assert not {0, 1, 2} & {r["doc_id"] for r in out.collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.only_identified(unlabelled).count() == docs.count()
 
 
 # --- 1: mixing
