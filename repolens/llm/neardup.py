@@ -103,6 +103,15 @@ def _least_linkable(percent: int) -> int:
     return n
 
 
+def digests(sets: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit digests of each set: sums of its hashes, plain and mixed."""
+    out = []
+    for x in (sets, B.mix64(sets + np.uint64(77))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        out.append(total[border[1:]] - total[border[:-1]])
+    return out[0], out[1]
+
+
 def _sketch(k: int, bands: int, rows: int, least: int):
     def run(batches):
         for batch in batches:
@@ -110,10 +119,7 @@ def _sketch(k: int, bands: int, rows: int, least: int):
             for piece in B.slices(batch.column("text")):
                 sets, border = _sets(piece, k)
                 size = np.diff(border)
-                weight = B.mix64(sets + np.uint64(77))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sets, dtype=np.uint64)])
-                other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight, dtype=np.uint64)])
-                d1, d2 = total[border[1:]] - total[border[:-1]], other[border[1:]] - other[border[:-1]]
+                d1, d2 = digests(sets, border)
                 some = np.flatnonzero(size >= least)
                 count = np.zeros(piece.n, np.int64)
                 count[some] = bands
@@ -136,7 +142,9 @@ def _full_sets(k: int):
             ids = batch.column("doc_id")
             for piece in B.slices(batch.column("text")):
                 sets, border = _sets(piece, k)
-                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, piece.n), pa.array([sets[border[d] : border[d + 1]].tobytes() for d in range(piece.n)], pa.binary())], ["id", "shingles"])
+                d1, d2 = digests(sets, border)
+                body = pa.array([sets[border[d] : border[d + 1]].tobytes() for d in range(piece.n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, piece.n), pa.array(B.signed(d1)), pa.array(B.signed(d2)), body], ["id", "d1", "d2", "shingles"])
 
     return run
 
@@ -225,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     docs needs doc_id (bigint) and text; other columns are ignored. Shingles are k words, ASCII-lower-cased;
     a text of fewer words is one shingle. Two texts link if 100 * |intersection| >= percent * |union|.
     A null or empty text, or one without words, has no shingles and links with nothing. Rows that repeat a
-    doc_id are one node. A row with null doc_id has component_id null and is kept. Eager: it runs jobs.
+    doc_id are one node, which has the links of all their texts. A row with null doc_id has component_id null and is kept. Eager: it runs jobs.
     """
     B.bounded_batches(docs.sparkSession)
     bands = bands_for(percent, rows)
@@ -239,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     stars = settle(buckets.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
     ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
     ends = settle(ends)
-    sets = settle(docs.join(small(ends, ends.count()), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id bigint, shingles binary").dropDuplicates(["id"]))
+    sets = settle(docs.join(small(ends, ends.count()), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id bigint, d1 bigint, d2 bigint, shingles binary").dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"))
     pairs = stars.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
     linked = settle(pairs.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 

@@ -135,6 +135,8 @@ def expected_components(rows, k, percent):
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_all_pairs(docs, k, percent):
+    second_text = docs.where("doc_id = 9").limit(1).withColumn("doc_id", F.lit(3).cast("bigint"))
+    docs = docs.unionByName(second_text)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want = expected_components(rows, k, percent)
     got = neardup.near_duplicates(docs, k, percent).collect()
