@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARK = "\x01"
+_BLOCK = 64
 
 
 def column(c: Column | str) -> Column:
@@ -48,12 +49,13 @@ def matches(files: DataFrame, pattern: str, groups: int | tuple[int, ...] = 1, c
     flags, body = _flags(anchored or pattern)
     again = f"{flags}\\A(?:{body})"
     parts = F.split(F.regexp_replace(F.col(content), pattern, MARK + "$0"), MARK, -1)
-    newlines = F.transform(parts, lambda p: F.size(F.split(p, "\n", -1)) - 1)
-    before = F.transform(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p, i: F.struct(p.alias("part"), i.alias("ord"), (F.aggregate(F.slice("__newlines", 1, i + 1), F.lit(0), lambda a, x: a + x) + 1).alias("line_no")),
-    )
-    found = files.withColumn("__newlines", newlines).select(*rest, F.explode(before).alias("m"))
+    added = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    # newlines before a part: whole blocks of parts, then the rest of its block
+    split = files.withColumn("__n", F.transform(parts, lambda p: F.size(F.split(p, "\n", -1)) - 1))
+    split = split.withColumn("__blocks", F.transform(F.sequence(F.lit(0), F.size("__n"), F.lit(_BLOCK)), lambda at: added(F.slice("__n", at + 1, F.lit(_BLOCK)))))
+    before = lambda i: added(F.slice("__blocks", F.lit(1), F.floor(i / _BLOCK).cast("int"))) + added(F.slice("__n", (i - i % _BLOCK) + 1, i % _BLOCK))
+    hits = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("part"), i.alias("ord"), (before(i + 1) + 1).alias("line_no")))
+    found = split.select(*rest, F.explode(hits).alias("m"))
     return found.select(*rest, F.col("m.line_no").alias("line_no"), F.col("m.ord").alias("ord"), *(F.regexp_extract(F.col("m.part"), again, g).alias(f"g{g}") for g in wanted))
 
 

@@ -75,6 +75,13 @@ def test_matches_count_lines(spark, text):
     assert got == [(text[: m.start()].count("\n") + 1, m.group(1)) for m in re.finditer("(a+)", text)]
 
 
+def test_matches_of_a_long_file(spark):
+    text = "\n".join(f"x = {i}\nhit {i}" if i % 3 else "hit" for i in range(5000))
+    frame = spark.createDataFrame([("f", text)], "path string, content string")
+    got = [r["line_no"] for r in T.matches(frame, java("(hit)"), 1).orderBy("ord").collect()]
+    assert got == [text[: m.start()].count("\n") + 1 for m in re.finditer("hit", text)]
+
+
 def test_shown_lines(spark):
     texts = ["", "\n", "a", "a\n", "a\nb", "\n\n"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(T.shown_lines("t")).collect()]
