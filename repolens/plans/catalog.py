@@ -970,6 +970,14 @@ def report_union(spark, sf_dir):
     return metrics.union([*parts, metrics.metric(read(spark, sf_dir, "pages"), "pages", F.count("*")), metrics.metric(read(spark, sf_dir, "events"), "events", F.count("*"))])
 
 
+@query(
+    f"""WITH {_DOCS} SELECT lang, count(*) AS files, sum(len(string_split(content, chr(10))) - CASE WHEN content = '' OR content LIKE '%' || chr(10) THEN 1 ELSE 0 END) AS lines,
+    0 AS exit_code FROM docs GROUP BY lang"""
+)
+def health_summary(spark, sf_dir):
+    return metrics.by_language(docs(spark, sf_dir)).withColumn("exit_code", metrics.exit_code(F.col("lines") > 0))
+
+
 @query("SELECT o_orderpriority AS tool, count(*) AS tools, bool_and(o_orderstatus != 'P') AS ok FROM orders GROUP BY 1")
 def all_ok(spark, sf_dir):
     runs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tool"), F.when(F.col("o_orderstatus") != "P", "ok").otherwise("fail").alias("status"))
