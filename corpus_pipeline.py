@@ -16,7 +16,7 @@ from repolens.llm.langid import only_identified
 from repolens.llm.mixing import mix
 from repolens.llm.neardup import without_near_duplicates
 from repolens.llm.queries import MIX_WEIGHTS
-from repolens.llm.substrings import remove_repeats
+from repolens.llm.substrings import remove_passages
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur more than once are cut out of texts; n_chars follows. Every row stays."""
-    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Passages of over 50 words, and strings of 400 bytes, that occur more than once are cut out of texts; n_chars follows. Every row stays."""
+    return remove_passages(docs, words=51).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

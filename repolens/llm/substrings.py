@@ -16,6 +16,9 @@ independent pieces by content, without loss:
    are repeated.
 
 Contexts of exact copies collapse before any text is moved, so a group of thousands of copies costs one class.
+
+Passages counted in words (``remove_passages``) go the same way up to step 2, with windows and grams of words;
+step 3 then counts the hashes of the windows of the classes, which are few, in a shuffle.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from . import bytesops as B
 from .common import schema_with, settle, small
 
 GRAM = 100
+WORD_GRAM = 12
 SORT_BYTES = 1 << 19
 SORT_CLASSES = 6000
 _ODD = 0x9E3779B97F4A7C15
@@ -39,9 +43,13 @@ _TOP = np.uint64(0xFFFFFFFF00000000)
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes from each position on (those that run over the end are meaningless)."""
-    n = len(data)
+    return rolled(B.keyed(256, 31)[data], k)
+
+
+def rolled(power: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k values from each position on (those that run over the end are meaningless)."""
+    n = len(power)
     with np.errstate(over="ignore"):
-        power = (B.keyed(256, 31))[data]
         out, done, size = None, 0, 1
         while k:
             if k & 1:
@@ -73,32 +81,43 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(piece: B.Slice, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts of a slice: text, first window (byte in the slice), number of windows, hash of the anchor."""
-    windows = np.maximum(np.diff(piece.off) - least + 1, 0)
-    at = B.ranges(piece.off[:-1], windows)
+    return contexts(gram_hashes(piece.data, gram), piece.off, least, gram)
+
+
+def contexts(h: np.ndarray, off: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() of texts that are off[i] to off[i + 1] of a row of bytes or words with gram hashes h."""
+    windows = np.maximum(np.diff(off) - least + 1, 0)
+    at = B.ranges(off[:-1], windows)
     if not len(at):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.view(np.uint64)
-    h = gram_hashes(piece.data, gram)
     place = sliding_min((h & _TOP) | np.arange(len(h), dtype=np.uint64), least - gram + 1)[at] & ~_TOP
-    text = np.repeat(np.arange(piece.n), windows)
+    text = np.repeat(np.arange(len(off) - 1), windows)
     first = np.ones(len(at), bool)
     first[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(first)
     return text[first], at[first], np.diff(np.append(first, len(at))), h[place[first].astype(np.int64)]
 
 
-def _find_anchors(least: int, gram: int):
+def _find_anchors(least: int, gram: int, by_word: bool = False):
     """Rows (h, c, d, k, lo, more, n): a context's anchor and digest, its first window in a text, and further ones.
 
-    A text that repeats one pattern has very many equal contexts; they are one row.
+    A text that repeats one pattern has very many equal contexts; they are one row. by_word: least, gram, lo and
+    n count words instead of bytes.
     """
 
     def run(batches):
         for batch in batches:
             d, k = batch.column("d"), batch.column("k")
             for piece in B.slices(batch.column("text")):
-                text, start, count, h = anchors(piece, least, gram)
-                raw = memoryview(np.ascontiguousarray(piece.data))
+                if by_word:
+                    w = B.words(piece, B.WORD_BY_SPACE, lower=False)
+                    data, off = w.hash, w.first
+                    text, start, count, h = contexts(rolled(data, gram), off, least, gram)
+                else:
+                    data, off = piece.data, piece.off
+                    text, start, count, h = anchors(piece, least, gram)
+                raw = memoryview(np.ascontiguousarray(data))
                 digest = b"".join(hashlib.blake2b(raw[s : s + c + least - 1], digest_size=8).digest() for s, c in zip(start.tolist(), count.tolist()))
                 c = np.frombuffer(digest, np.int64)
                 by = np.lexsort((start, c, h, text))
@@ -107,7 +126,7 @@ def _find_anchors(least: int, gram: int):
                 new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])
                 first = np.flatnonzero(new)
                 size = np.diff(np.append(first, len(text)))
-                lo = start - piece.off[text]
+                lo = start - off[text]
                 offsets = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
                 more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lo[~new]), mask=pa.array(size == 1))
                 rows = pa.array(text[first] + piece.first)
@@ -259,6 +278,14 @@ def _expand(least: int):
     return run
 
 
+def _merged(lo: list[int], hi: list[int]) -> tuple[list[int], list[int]]:
+    lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+    by = np.argsort(lo, kind="stable")
+    lo, hi = lo[by], np.maximum.accumulate(hi[by])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return lo[new].tolist(), hi[np.append(new[1:], len(hi)) - 1].tolist()
+
+
 def _merge():
     """Rows (d, k, lo, hi lists): the lists merged to disjoint spans, in order."""
 
@@ -266,12 +293,9 @@ def _merge():
         for batch in batches:
             starts, ends = [], []
             for lo, hi in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist()):
-                lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
-                by = np.argsort(lo, kind="stable")
-                lo, hi = lo[by], np.maximum.accumulate(hi[by])
-                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-                starts.append(lo[new].tolist())
-                ends.append(hi[np.append(new[1:], len(hi)) - 1].tolist())
+                lo, hi = _merged(lo, hi)
+                starts.append(lo)
+                ends.append(hi)
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "k", "starts", "ends"])
 
     return run
@@ -291,7 +315,53 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
         raise ValueError(f"least must be more than gram ({gram})")
     B.bounded_batches(docs.sparkSession)
     keyed = with_key(docs).where(F.octet_length("text") >= least).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text")
-    found = settle(keyed.mapInArrow(_find_anchors(least, gram), "h bigint, c bigint, d bigint, k bigint, lo bigint, more array<bigint>, n bigint"))
+    bodies = lambda asked: asked.mapInArrow(_extract(least), "h bigint, c bigint, copies bigint, body binary")
+    # the suffix stage is heavy for its bytes, so its partitions follow the number of contexts
+    solve = lambda asked, n: (
+        bodies(asked).repartition(1 + n // SORT_CLASSES, "h").sortWithinPartitions("h").mapInArrow(_expand(least), "h bigint, c bigint, starts array<bigint>, ends array<bigint>").where(F.size("starts") > 0)
+    )
+    return _spans(keyed, _find_anchors(least, gram), solve, least)
+
+
+def repeated_passages(docs: DataFrame, words: int, gram: int = WORD_GRAM) -> DataFrame:
+    """(d, k, starts, ends) as of repeated_spans(), in words: what repeated runs of ``words`` words cover.
+
+    Words stand between ASCII white space; which white space does not matter, case does. Eager.
+    """
+    if words <= gram:
+        raise ValueError(f"words must be more than gram ({gram})")
+    B.bounded_batches(docs.sparkSession)
+    keyed = with_key(docs).where(F.octet_length("text") >= 2 * words - 1).select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text")
+
+    def solve(asked: DataFrame, n: int) -> DataFrame:
+        rows = settle(asked.mapInArrow(_windows(words), "h bigint, c bigint, copies bigint, at bigint, w bigint"))
+        again = rows.groupBy("h", "w").agg(F.sum("copies").alias("times")).where("times > 1").select("h", "w")
+        held = rows.join(again, ["h", "w"], "left_semi").groupBy("h", "c").agg(F.collect_list("at").alias("starts"))
+        return held.withColumn("ends", F.transform("starts", lambda x: x + 1))
+
+    return _spans(keyed, _find_anchors(words, gram, by_word=True), solve, words)
+
+
+def _windows(least: int):
+    """Rows (text, wanted: h, c, copies, lo, n): the hash of every window of each wanted context of words."""
+
+    def run(batches):
+        for batch in batches:
+            wanted = batch.column("wanted").to_pylist()
+            for piece in B.slices(batch.column("text")):
+                w = B.words(piece, B.WORD_BY_SPACE, lower=False)
+                hashes = rolled(w.hash, least)
+                asked = [(x["h"], x["c"], x["copies"], x["lo"] + f, x["n"]) for f, xs in zip(w.first.tolist(), wanted[piece.first : piece.first + piece.n]) for x in xs]
+                h, c, copies, lo, n = np.array(asked, np.int64).reshape(-1, 5).T
+                at = B.ranges(lo, n)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, n)) for x in (h, c, copies)), pa.array(at - np.repeat(lo, n)), pa.array(B.signed(hashes[at]))], ["h", "c", "copies", "at", "w"])
+
+    return run
+
+
+def _spans(keyed: DataFrame, find, solve, least: int) -> DataFrame:
+    """Spans of (d, k, text) from its contexts (find) and, of (text, wanted) and their number, the repeated windows of classes (solve)."""
+    found = settle(keyed.mapInArrow(find, "h bigint, c bigint, d bigint, k bigint, lo bigint, more array<bigint>, n bigint"))
     times = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
     groups = found.groupBy("h").agg(times.alias("times"), F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("times > 1")
     again = settle(found.join(groups.select("h", (F.col("c_low") == F.col("c_high")).alias("whole")), "h"))
@@ -303,9 +373,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
         classes.groupBy(F.col("at.d").alias("d"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("h", "c", "copies", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))).alias("wanted"))
     )
     n_classes = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    bodies = keyed.join(small(wanted, n_classes), ["d", "k"]).select("text", "wanted").mapInArrow(_extract(least), "h bigint, c bigint, copies bigint, body binary")
-    # the suffix stage is heavy for its bytes, so its partitions follow the number of contexts
-    solved = bodies.repartition(1 + n_classes // SORT_CLASSES, "h").sortWithinPartitions("h").mapInArrow(_expand(least), "h bigint, c bigint, starts array<bigint>, ends array<bigint>").where(F.size("starts") > 0)
+    solved = solve(keyed.join(small(wanted, n_classes), ["d", "k"]).select("text", "wanted"), n_classes)
     placed = lambda ends, by: F.flatten(F.transform("los", lambda x: F.transform(ends, lambda w: x + w + by)))
     parts = open_.join(solved, ["h", "c"]).select("d", "k", every.alias("los"), "starts", "ends").select("d", "k", placed("starts", 0).alias("lo"), placed("ends", least - 1).alias("hi"))
     gathered = whole.unionByName(parts).distinct().groupBy("d", "k").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
@@ -358,9 +426,20 @@ def digests(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> D
     return joined.mapInArrow(_digests, schema)
 
 
+def _with_passages(text: bytes | None, starts: list[int] | None, ends: list[int] | None, first: list[int] | None, last: list[int] | None):
+    """Byte spans (text, starts, ends) with those of the words first to last (exclusive) added."""
+    if not first:
+        return text, starts, ends
+    edge = np.diff(np.concatenate([[0], B.WORD_BY_SPACE[np.frombuffer(text, np.uint8)].astype(np.int8), [0]]))
+    low, high = np.flatnonzero(edge == 1)[first], np.flatnonzero(edge == -1)[np.array(last) - 1]
+    return text, *_merged([*(starts or []), *low.tolist()], [*(ends or []), *high.tolist()])
+
+
 def _rewrite(batches):
     for batch in batches:
-        rows = zip(batch.column("__text").cast(pa.binary()).to_pylist(), batch.column("__starts").to_pylist(), batch.column("__ends").to_pylist())
+        names = ["__starts", "__ends", *(c for c in ("__first", "__last") if c in batch.schema.names)]
+        rows = zip(batch.column("__text").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in names))
+        rows = (_with_passages(*r) for r in rows) if len(names) == 4 else rows
         text = [None if t is None else (_keep(t, s, e) if s else t).decode("utf-8", "ignore") for t, s, e in rows]
         rest = [c for c in batch.schema.names if not c.startswith("__")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(text, pa.string())], [*rest, "__new"])
@@ -374,10 +453,19 @@ def remove_repeats(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
     return without(docs, repeated_spans(docs, least, gram))
 
 
-def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def remove_passages(docs: DataFrame, words: int, least: int = 400) -> DataFrame:
+    """remove_repeats(), and repeated passages of ``words`` words, however short, go too."""
+    none = F.lit(None).cast("array<bigint>")
+    in_bytes = repeated_spans(docs, least).select("d", "k", "starts", "ends", none.alias("__first"), none.alias("__last"))
+    in_words = repeated_passages(docs, words).select("d", "k", none.alias("starts"), none.alias("ends"), F.col("starts").alias("__first"), F.col("ends").alias("__last"))
+    both = in_bytes.unionByName(in_words).groupBy("d", "k").agg(*(F.coalesce(F.first(c, ignorenulls=True), F.array().cast("array<bigint>")).alias(c) for c in ("starts", "ends", "__first", "__last")))
+    return without(docs, settle(both), ("__first", "__last"))
+
+
+def without(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """docs with the given spans taken out of the text column."""
     rest = [c for c in docs.columns if c != "text"]
     schema = schema_with(docs, rest, "__new string")
-    joined = attach(docs, spans).select(*(F.col(f"`{c}`") for c in rest), F.col("text").alias("__text"), "__starts", "__ends")
+    joined = attach(docs, spans, extra).select(*(F.col(f"`{c}`") for c in rest), F.col("text").alias("__text"), "__starts", "__ends", *extra)
     done = joined.mapInArrow(_rewrite, schema).withColumnRenamed("__new", "text")
     return done.select(*(F.col(f"`{c}`") for c in docs.columns))

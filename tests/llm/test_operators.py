@@ -233,6 +233,30 @@ def test_remove_repeats_keeps_rows_and_columns(docs):
     assert texts[0] is None and texts[3] == "one" and texts[6] == "" and len(texts[12]) < len(TEXTS[12])
 
 
+def test_remove_passages_equals_brute_force(spark, docs):
+    """Planted passages of 51 words go, however short in bytes; one of 50 stays."""
+    short = " ".join("abcdefghij"[i % 10] for i in range(60, 111))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    plant = lambda i, p: (i, prose(i, 20) + " " + p + " " + prose(i + 1, 20))
+    rows += [plant(9000, prose(40, 51)), plant(9010, prose(40, 51).replace(" ", "\n")), plant(9020, prose(41, 50)), plant(9030, prose(41, 50)), plant(9040, short), plant(9050, short)]
+    rows += [plant(9060 + 10 * i, prose(43, 60)[:-i] + "q") for i in range(1, 4)]
+    raw, gone = covered_bytes([t for _, t in rows], 400)
+    word = re.compile(SPACE_WORDS.pattern.encode())
+    windows = [[(m.start(), m.end()) for m in word.finditer(b)] for b in raw]
+    grams = [[tuple(b[x:y] for x, y in w[p : p + 51]) for p in range(len(w) - 50)] for b, w in zip(raw, windows)]
+    times = collections.Counter(g for gs in grams for g in gs)
+    for g, w, gs in zip(gone, windows, grams):
+        for p, x in enumerate(gs):
+            if times[x] > 1:
+                g[w[p][0] : w[p + 50][1]] = True
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substrings.remove_passages(frame, words=51)
+    want = [(i, None if t is None else np.frombuffer(b, np.uint8)[~g].tobytes().decode("utf-8", "ignore")) for (i, t), b, g in zip(rows, raw, gone)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    left = {r["doc_id"]: r["text"] for r in got.where("doc_id >= 9000").collect()}
+    assert prose(40, 51) not in left[9000] and prose(41, 50) in left[9020] and short not in left[9040]
+
+
 # --- 4: chunks
 
 

@@ -50,3 +50,12 @@ def test_stages(spark, folder, tmp_path):
     assert ids(left) == ids(came) and len(left) == len(came)
     check_mix(left, {f"src{i}": 8 if i < 5 else 5 for i in range(10)}, 1, 16)
     assert pipeline.run(spark, folder).count() == len(left)
+
+
+def test_substring_stage_reaches_every_passage_of_over_50_words(spark):
+    item = prose(90, 51)
+    assert len(item) < 400
+    rows = [(i, prose(800 + i, 70) + " " + item + " " + prose(900 + i, 70), 0) for i in range(2)]
+    out = pipeline.substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), "").collect()
+    assert len(out) == 2 and not any(item in r["text"] for r in out) and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert all(r["text"].startswith(prose(800 + r["doc_id"], 70)) and r["text"].endswith(prose(900 + r["doc_id"], 70)) for r in out)
