@@ -5,10 +5,10 @@ history: the word before, the two words before together, and the word before tha
 the commonest words, the end of a text, and hashed word endings. Inside a class, tokens follow their counts
 with one added, over all training texts; unknown tokens share one count.
 
-The class weights are trained by rounds of distributed gradient updates: every partition of a sample descends
-from the current weights, and the changes are averaged over the partitions that touched a feature. Counts,
-unlike weights, cover the whole corpus: they are summed in the shuffle, the most frequent tokens (a bounded
-table) are sent to every task, and all other tokens meet their counts in a join.
+The class weights are trained by rounds of distributed gradient updates: every partition of the training texts
+descends from the current weights, and the changes are averaged over the partitions that touched a feature.
+Partitions are those of the input, so their number follows its size. Counts are summed in the shuffle, the most
+frequent tokens (a bounded table) are sent to every task, and all other tokens meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ from .langid import held_out
 
 #: Tokens whose counts go to every task, at most; the rest are joined.
 HEAD_TOKENS = 1 << 18
-#: About so many training texts, picked by a hash of doc_id, fit the class weights.
-TRAIN_ROWS = 12_000
 ROUNDS = 2
-PARTS = 6
+#: Blocks of the weight table in which changes are averaged; the task of a block holds its changes from every partition.
+BLOCKS = 256
 _SINGLES = 31
 _END_CLASS = _SINGLES
 _ENDINGS = 32
@@ -131,11 +130,23 @@ def _log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.nda
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    z = weights[f[0]]
+    z += weights[f[1]]
+    z += weights[f[2]]
+    z += bias
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
 def _descend(classes: Classes, weights: np.ndarray, bias: np.ndarray):
     """One partition's pass: the change of the weights that it touched, in blocks of rows."""
 
     def run(batches):
         w, touched = weights.copy(), np.zeros(FEATURES, bool)
+        rank = np.min_scalar_type(FEATURES - 1)  # 16 bits at most are sorted by radix
         total = np.full((FEATURES, CLASSES), 0.1, np.float32)
         for batch in batches:
             for piece in B.slices(batch.column("text")):
@@ -143,9 +154,9 @@ def _descend(classes: Classes, weights: np.ndarray, bias: np.ndarray):
                 f, y = features(t), classes.of(t)
                 for low in range(0, len(y), _CHUNK):
                     part, goal = f[:, low : low + _CHUNK], y[low : low + _CHUNK]
-                    slope = np.exp(_log_softmax(w, bias, part))
+                    slope = _softmax(w, bias, part)
                     slope[np.arange(len(goal)), goal] -= 1
-                    for rows in part:
+                    for rows in part.astype(rank):
                         by = np.argsort(rows, kind="stable")
                         cut = np.flatnonzero(np.concatenate([[True], rows[by][1:] != rows[by][:-1]]))
                         g = np.add.reduceat(slope[by], cut, axis=0)
@@ -153,9 +164,11 @@ def _descend(classes: Classes, weights: np.ndarray, bias: np.ndarray):
                         total[u] += g * g
                         w[u] -= _RATE * g / np.sqrt(total[u])
                         touched[u] = True
+        if not touched.any():
+            return
         change = np.concatenate([w - weights, touched[:, None].astype(np.float32)], 1)
-        step = FEATURES // 16
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array([change[i * step : (i + 1) * step].tobytes() for i in range(16)], pa.binary())], ["part", "change"])
+        step = FEATURES // BLOCKS
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array([change[i * step : (i + 1) * step].tobytes() for i in range(BLOCKS)], pa.binary())], ["part", "change"])
 
     return run
 
@@ -181,8 +194,8 @@ class Model:
     bias: np.ndarray
 
 
-def train(texts: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Model:
-    """Counts over all texts (doc_id, text; null: empty) and class weights from about ``rows`` of them. Eager."""
+def train(texts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Counts over all texts (text; null: empty) and class weights from all of them. Eager."""
     B.bounded_batches(texts.sparkSession)
     found = texts.select("text").mapInArrow(_counts, "token bigint, ending bigint, c bigint").groupBy("token", "ending").agg(F.sum("c").alias("c"))
     # counts on a logarithmic scale: a few thousand levels at most, from which the head's least count follows
@@ -216,12 +229,9 @@ def train(texts: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Mod
     bias = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
 
     weights = np.zeros((FEATURES, CLASSES), np.float32)
-    count = texts.count()
-    sample = texts if count <= rows else texts.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * rows / count) + 1)
     if n:
-        sample = settle(sample.select("text").repartition(PARTS))
         for _ in range(rounds):
-            change = sample.mapInArrow(_descend(classes, weights, bias), "part bigint, change binary").groupBy("part").applyInArrow(_mean_change, "part bigint, change binary")
+            change = texts.select("text").mapInArrow(_descend(classes, weights, bias), "part bigint, change binary").groupBy("part").applyInArrow(_mean_change, "part bigint, change binary")
             weights = weights + np.concatenate([np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES) for r in sorted(change.collect(), key=lambda r: r["part"])])
     return Model(found.where(F.col("level") < least).select("token", "c"), n, v, token, np.log10(c + 1.0), classes, np.log10(mass + kinds + 1), weights, bias)
 
@@ -299,8 +309,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def lm_report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def lm_report(docs: DataFrame) -> DataFrame:
     """score() of all docs by a model of those that are not held out, with held_out after doc_id."""
     out = held_out(mod=7, remainder=2)
-    scored = score(docs, train(docs.where(~out).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows))
+    scored = score(docs, train(docs.where(~out).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -531,6 +531,14 @@ def test_lm_probabilities_add_up_to_one(spark):
     assert abs(total - (model.n + model.v)) < 1e-6 * total
 
 
+def test_lm_weights_learn_from_every_training_text(spark):
+    """More texts than the 12,000 that the weights were once fit to: each leaves its features in the table."""
+    texts = [f"a{i} b{i}" for i in range(24_000)]
+    model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), rounds=1)
+    rows = np.unique(np.concatenate([lm.features(lm.tokens(piece)).ravel() for piece in B.slices(pa.array(texts))]))
+    assert (model.weights[rows] != 0).any(1).all()
+
+
 # --- 10: chat
 
 
