@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         .select("id", "cluster", F.coalesce("component", "id").alias("component"))
     )
     more = _cross_links(settle(member), sets, percent)
-    final = settle(components(linked.unionByName(more)))
+    final = settle(components(linked.unionByName(more).unionByName(_same_id(node, classes))))
 
     classes = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = base.join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -267,6 +267,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _same_id(node: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the representatives of the classes of every doc_id that has several texts."""
+    key = ["d1", "d2", "n_shingles"]
+    several = node.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low != high").select("doc_id")
+    own = node.select("doc_id", *key).join(several, "doc_id").join(classes, key).select("doc_id", "rep").distinct()
+    return own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def _shared(buckets: DataFrame) -> DataFrame:
     """(id, key, centre) of the buckets with two members or more."""
     centre = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre != top").drop("top")

@@ -186,6 +186,14 @@ def test_without_near_duplicates_keeps_one_of_each(docs):
     assert ids == sorted(i for i, c in want.items() if i == c)
 
 
+def test_near_dedup_id_with_several_texts_joins_their_classes(spark):
+    """9 is the smallest id of neither class; 12 joins two texts that are too short for bands."""
+    a, b = prose(60, 50), prose(61, 50)
+    rows = [(3, b), (5, a), (9, a), (9, b), (10, "one two"), (11, "three four"), (12, "one two"), (12, "three four"), (20, prose(62, 50))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(3, 3), (5, 3), (9, 3), (10, 10), (11, 10), (12, 10), (20, 20)}
+
+
 # --- 5: exact substrings
 
 
