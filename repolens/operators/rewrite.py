@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import literal, replacement, whole_word
@@ -74,10 +74,15 @@ def apply_spans(files: DataFrame, spans: DataFrame, old_length: int, new: str) -
 
 def replaced_first(files: DataFrame, old: str, new: str) -> DataFrame:
     """(path, status, content): the first exact occurrence replaced; CRLF and one trailing newline of old do not count."""
+    found, text = _first_place(old, new)
+    return files.select("path", F.when(found, "replaced").otherwise("not found").alias("status"), F.when(found, text).otherwise(F.col("content")).alias("content"))
+
+
+def _first_place(old: str, new: str) -> tuple[Column, Column]:
+    """Whether the content holds old on normalised line ends, and the content with its first occurrence replaced."""
     old = re.sub(r"\n$", "", old.replace("\r\n", "\n"))
     at = F.locate(old, F.col("content"))
-    text = F.concat(F.substring(F.col("content"), F.lit(1), at - 1), F.lit(new), F.substring(F.col("content"), at + len(old), F.lit(1 << 30)))
-    return files.select("path", F.when(at > 0, "replaced").otherwise("not found").alias("status"), F.when(at > 0, text).otherwise(F.col("content")).alias("content"))
+    return at > 0, F.concat(F.substring(F.col("content"), F.lit(1), at - 1), F.lit(new), F.substring(F.col("content"), at + len(old), F.lit(1 << 30)))
 
 
 def hashed_lines(files: DataFrame) -> DataFrame:
@@ -195,8 +200,10 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 
     Nothing is mutated: each line becomes the texts inserted before it and, unless deleted, itself; the lines
     are then laid in order between the texts for the file's beginning and end. Text after the last line goes
-    to the end.
+    to the end. Text for an empty file's beginning or end takes the place of its only line. A file whose content
+    is null is left out.
     """
+    files = files.where(F.col("content").isNotNull())
     n_lines = files.select("path", F.size(F.split("content", "\n", -1)).alias("n_lines"))
     placed = edits.join(n_lines, "path")
     after = F.col("cursor") == "after"
@@ -261,14 +268,12 @@ def edit_stats(results: DataFrame, status: str = "status") -> DataFrame:
 
 
 def edited_or_salvaged(files: DataFrame, old: str, new: str) -> DataFrame:
-    """(path, status, content): an exact edit; failing that, one on normalised line ends; else failed."""
-    exact = F.contains("content", F.lit(old))
-    loose = replaced_first(files, old, new).select("path", F.col("status").alias("__s"), F.col("content").alias("__c"))
-    at = F.locate(old, F.col("content"))
-    direct = F.concat(F.substring(F.col("content"), F.lit(1), at - 1), F.lit(new), F.substring(F.col("content"), at + len(old), F.lit(1 << 30)))
-    joined = files.select("path", "content").join(loose, "path")
-    salvaged = F.col("__s") == "replaced"
-    return joined.select("path", F.when(exact, "direct").when(salvaged, "salvaged").otherwise("failed").alias("status"), F.when(exact, direct).when(salvaged, F.col("__c")).otherwise(F.col("content")).alias("content"))
+    """(path, status, content): an exact edit; failing that, one on normalised line ends; else failed (null: no status)."""
+    text = F.col("content")
+    exact, (salvaged, loose) = F.locate(old, text), _first_place(old, new)
+    direct = F.concat(F.substring(text, F.lit(1), exact - 1), F.lit(new), F.substring(text, exact + len(old), F.lit(1 << 30)))
+    status = F.when(exact > 0, "direct").when(salvaged, "salvaged").when(text.isNotNull(), "failed")
+    return files.select("path", status.alias("status"), F.when(exact > 0, direct).when(salvaged, loose).otherwise(text).alias("content"))
 
 
 def write_back(changed: DataFrame, root: str) -> None:

@@ -887,17 +887,28 @@ def anchor_report(spark, sf_dir):
     SELECT path, 'top' || chr(10) || string_agg(t, chr(10) ORDER BY line_no) || chr(10) || 'bottom' AS content FROM e GROUP BY path"""
 )
 def hashline_apply(spark, sf_dir):
-    """In every document: line 2 replaced by two lines, a line before line 3, one at the top and one at the end."""
+    """In every document: line 2 replaced by two lines, a line before line 3, one before the first and one at the end.
+
+    Text before line 1 leaves the only line of an empty document in place; text at BOF takes it (hashline_edges).
+    """
     files = docs(spark, sf_dir)
     rows = F.array(
         *(
             F.struct(F.lit(k).alias("kind"), F.lit(c).alias("cursor"), F.lit(a).cast("int").alias("anchor_line"), F.lit(t).cast("string").alias("text"), F.lit(i).alias("idx"))
-            for i, (k, c, a, t) in enumerate([("insert", "before", 2, "one"), ("insert", "before", 2, "two"), ("delete", "at", 2, None), ("insert", "before", 3, "pre"), ("insert", "bof", None, "top"), ("insert", "eof", None, "bottom")])
+            for i, (k, c, a, t) in enumerate([("insert", "before", 2, "one"), ("insert", "before", 2, "two"), ("delete", "at", 2, None), ("insert", "before", 3, "pre"), ("insert", "before", 1, "top"), ("insert", "eof", None, "bottom")])
         )
     )
     return rewrite.apply_edits(files, files.select("path", F.explode(rows).alias("e")).select("path", "e.*"))
 
 
+@query(X.values([("empty", "top\nbottom"), ("full", "top\none\ntwo\nbottom"), ("newline", "top\n\n\nbottom")], "path, content"))
+def hashline_edges(spark, sf_dir):
+    """Text at BOF and EOF: the only line of an empty file goes; a file without content is no file."""
+    files = spark.createDataFrame([("empty", ""), ("full", "one\ntwo"), ("newline", "\n"), ("none", None)], "path string, content string")
+    edits = [(p, "insert", c, None, t, i) for p in ("empty", "full", "newline", "none") for i, (c, t) in enumerate([("bof", "top"), ("eof", "bottom")])]
+    return rewrite.apply_edits(files, spark.createDataFrame(edits, "path string, kind string, cursor string, anchor_line int, text string, idx int"))
+
+
 @query(X.values([("a.txt", "new\nbeta\nGAMMA\ndelta\nend")], "path, content"))
 def hashline_sections(spark, sf_dir):
     """Two sections: the second edits what the first has left."""
