@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +25,27 @@ def schema_with(df: DataFrame, keep, added: str) -> T.StructType:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session without one, as in tests, gets a
-    temporary folder.
+    The folder is the cluster's ``spark.checkpoint.dir``; only a local session without one, as in tests, gets a
+    temporary folder, as the executors of a cluster would not share it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing will read again."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast only if its counted rows are within the bound; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -51,19 +63,24 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         .where((F.col("u") != F.col("v")) & F.col(left).isNotNull() & F.col(right).isNotNull())
         .distinct()
     )
-    mark = None
-    while True:
+    mark = _mark(now)
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        now = settle(step.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(seen) == mark:
+        before, now = now, settle(step.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
+        drop_checkpoint(before)
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
-        mark = tuple(seen)
     tree = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return tree.unionByName(tree.select(F.col("component").alias("id"), "component").distinct())
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and order-free digest of edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

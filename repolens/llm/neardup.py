@@ -251,15 +251,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     pairs = stars.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
     linked = settle(pairs.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
-    first = components(linked)
-    member = (
-        components(stars)
-        .select("id", F.col("component").alias("cluster"))
-        .join(first, "id", "left")
-        .select("id", "cluster", F.coalesce("component", "id").alias("component"))
-    )
-    more = _cross_links(settle(member), sets, percent)
-    final = settle(components(linked.unionByName(more).unionByName(_same_id(node, classes))))
+    first = settle(components(linked))
+    more = _cross_links(first, stars, ends, sets, percent)
+    final = _merged(first, more.unionByName(_same_id(node, classes)))
 
     classes = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = base.join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -281,12 +275,28 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return buckets.join(centre, "key")
 
 
-def _cross_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of one cluster (the texts that stars of buckets connect).
+def _between(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """The edges (a, b) that join different components of first, as edges between those components."""
+    of = lambda x: first.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    placed = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    return placed.where("a != b").distinct()
+
+
+def _merged(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of first and the ends of edges, when edges join components further."""
+    over = components(_between(edges, first)).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return settle(first.unionByName(over.select(F.col("component").alias("id"), "component")).join(over, "component", "left").select("id", F.coalesce("top", "component").alias("component")).distinct())
+
+
+def _cross_links(first: DataFrame, stars: DataFrame, ends: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one cluster (the components that stars of buckets connect).
 
     Every text outside the cluster's largest component meets every text of the cluster, in blocks of about
     BLOCK each, so a task's size does not follow the cluster's.
     """
+    clusters = components(_between(stars, first)).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    member = ends.select(F.col("doc_id").alias("id")).join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    member = settle(member.join(clusters, "component").select("id", "cluster", "component"))
     sizes = member.groupBy("cluster", "component").count()
     clusters = (
         sizes.groupBy("cluster")
