@@ -1,14 +1,15 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class). The class softmax has hashed features of the
-history: the word before, the two words before together, and the word before that alone (a skip). Classes are
-the commonest words, the end of a text, and hashed word endings. Inside a class, tokens follow their counts
-with one added, over all training texts; unknown tokens share one count.
+P(token | history) = P(group | history) * P(class | group, history) * P(token | class). Both softmaxes have
+hashed features of the history: the word before, the two words before together, and the word before that alone
+(a skip). Classes are the commonest words, the end of a text, and hashed word endings; eight make a group. Inside
+a class, tokens follow their counts with one added, over all training texts; unknown tokens share one count.
 
-The class weights are trained by rounds of distributed gradient updates: every partition of the training texts
+The weights are trained by rounds of distributed gradient updates: every partition of the training texts
 descends from the current weights, and the changes are averaged over the partitions that touched a feature.
-Partitions are those of the input, so their number follows its size. Counts are summed in the shuffle, the most
-frequent tokens (a bounded table) are sent to every task, and all other tokens meet their counts in a join.
+Partitions are those of the input, so their number follows its size; their changes are summed as they arrive, so
+no task holds more than the table. Counts are summed in the shuffle, the most frequent tokens (a bounded table)
+are sent to every task, and all other tokens meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -33,9 +34,14 @@ _SINGLES = 31
 _END_CLASS = _SINGLES
 _ENDINGS = 32
 CLASSES = _SINGLES + 1 + _ENDINGS
-FEATURES = 1 << 14
+#: Classes of a group, and groups.
+_SIDE = 8
+FEATURES = 1 << 16
+#: The weight table has a row of _SIDE weights for each feature's choice of a group, and for each of its groups.
+_ROWS = FEATURES * (_SIDE + 1)
 _END, _BEFORE = B.keyed(2, 91)
-_CHUNK = 4096
+#: Tokens of an update: few at first, as the weights move most then.
+_CHUNK, _LONG_CHUNK = 1 << 12, 1 << 16
 _RATE = 0.25
 _COUNT_FLUSH = 1 << 20
 
@@ -69,7 +75,7 @@ def tokens(piece: B.Slice) -> Tokens:
 
 
 def features(t: Tokens) -> np.ndarray:
-    """(3, tokens) rows of the weight table."""
+    """(3, tokens) hashed features of each token's history."""
     one = np.empty_like(t.hash)
     one[1:], one[t.first[:-1]] = t.hash[:-1], _BEFORE
     two = np.empty_like(t.hash)
@@ -124,59 +130,79 @@ def _counts(batches):
         yield row(merged())
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]] + weights[f[1]] + weights[f[2]] + bias
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def choices(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens with features f and classes y, the choice of a group, then of a class in it.
 
-
-def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]]
-    z += weights[f[1]]
-    z += weights[f[2]]
-    z += bias
-    z -= z.max(1, keepdims=True)
+    (3, 2 * tokens) rows of the weight table, the 2 * tokens rows of the bias, and what was chosen.
+    """
+    group = y // _SIDE
+    first = f * (_SIDE + 1)
+    return np.concatenate([first, first + 1 + group], 1), np.concatenate([np.zeros_like(group), 1 + group]), np.concatenate([group, y % _SIDE])
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(_SIDE, choices) probabilities."""
+    z = bias.take(own, 0)
+    for at in rows:
+        z += weights.take(at, 0)
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
+def log_classes(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probability of each token's class."""
+    rows, own, goal = choices(f, y)
+    p = _softmax(weights, bias, rows, own)[goal, np.arange(len(goal))]
+    return np.log(p).reshape(2, -1).sum(0)
+
+
 def _descend(classes: Classes, weights: np.ndarray, bias: np.ndarray):
-    """One partition's pass: the change of the weights that it touched, in blocks of rows."""
+    """One partition's pass: the change of the weights and which rows it touched, in blocks of rows."""
 
     def run(batches):
-        w, touched = weights.copy(), np.zeros(FEATURES, bool)
-        rank = np.min_scalar_type(FEATURES - 1)  # 16 bits at most are sorted by radix
-        total = np.full((FEATURES, CLASSES), 0.1, np.float32)
+        w, touched = weights.copy(), np.zeros(_ROWS, bool)
+        total = np.full((_SIDE, _ROWS), 0.1, np.float32)
+        size = _CHUNK
         for batch in batches:
             for piece in B.slices(batch.column("text")):
                 t = tokens(piece)
                 f, y = features(t), classes.of(t)
-                for low in range(0, len(y), _CHUNK):
-                    part, goal = f[:, low : low + _CHUNK], y[low : low + _CHUNK]
-                    slope = _softmax(w, bias, part)
-                    slope[np.arange(len(goal)), goal] -= 1
-                    for rows in part.astype(rank):
-                        by = np.argsort(rows, kind="stable")
-                        cut = np.flatnonzero(np.concatenate([[True], rows[by][1:] != rows[by][:-1]]))
-                        g = np.add.reduceat(slope[by], cut, axis=0)
-                        u = rows[by][cut]
-                        total[u] += g * g
-                        w[u] -= _RATE * g / np.sqrt(total[u])
-                        touched[u] = True
+                low = 0
+                while low < len(y):
+                    rows, own, goal = choices(f[:, low : low + size], y[low : low + size])
+                    slope = _softmax(w, bias, rows, own)
+                    slope[goal, np.arange(len(goal))] -= 1
+                    at = rows.ravel()
+                    touched[at] = True
+                    for k in range(_SIDE):
+                        g = np.bincount(at, np.tile(slope[k], 3), _ROWS).astype(np.float32)
+                        total[k] += g * g
+                        g /= np.sqrt(total[k])
+                        g *= _RATE
+                        w[:, k] -= g
+                    low += size
+                    size = min(_LONG_CHUNK, size * 5 // 4)
         if not touched.any():
             return
-        change = np.concatenate([w - weights, touched[:, None].astype(np.float32)], 1)
-        step = FEATURES // BLOCKS
+        change = np.concatenate([w - weights, touched[:, None]], 1).astype(np.float16)
+        step = _ROWS // BLOCKS
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array([change[i * step : (i + 1) * step].tobytes() for i in range(BLOCKS)], pa.binary())], ["part", "change"])
 
     return run
 
 
-def _mean_change(key, group):
-    total = sum(np.frombuffer(x, np.float32).reshape(-1, CLASSES + 1) for x in group.column("change").to_pylist())
-    mean = total[:, :CLASSES] / np.maximum(total[:, CLASSES:], 1)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "change": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+def _mean_change(batches):
+    """The mean change of each block, over the partitions that touched a row."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, change in zip(batch.column("part").to_pylist(), batch.column("change").to_pylist()):
+            change = np.frombuffer(change, np.float16).reshape(-1, _SIDE + 1).astype(np.float32)
+            total[part] = total[part] + change if part in total else change
+    mean = [(x[:, :_SIDE] / np.maximum(x[:, _SIDE:], 1)).astype(np.float32).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(mean, pa.binary())], ["part", "change"])
 
 
 @dataclass
@@ -226,13 +252,15 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> Model:
         mass[place], kinds[place] = c[i], 1
         mass[_SINGLES + 1 + ending[i]] -= c[i]
         kinds[_SINGLES + 1 + ending[i]] -= 1
-    bias = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
+    share = (mass + 1).reshape(_SIDE, _SIDE)
+    bias = np.log(np.concatenate([share.sum(1)[None, :] / share.sum(), share / share.sum(1, keepdims=True)])).astype(np.float32)
 
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
+    weights = np.zeros((_ROWS, _SIDE), np.float32)
     if n:
         for _ in range(rounds):
-            change = texts.select("text").mapInArrow(_descend(classes, weights, bias), "part bigint, change binary").groupBy("part").applyInArrow(_mean_change, "part bigint, change binary")
-            weights = weights + np.concatenate([np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES) for r in sorted(change.collect(), key=lambda r: r["part"])])
+            change = texts.select("text").mapInArrow(_descend(classes, weights, bias), "part bigint, change binary").repartition("part").mapInArrow(_mean_change, "part bigint, change binary")
+            # BLOCKS rows, the table as a whole
+            weights = weights + np.concatenate([np.frombuffer(r["change"], np.float32).reshape(-1, _SIDE) for r in sorted(change.collect(), key=lambda r: r["part"])])
     return Model(found.where(F.col("level") < least).select("token", "c"), n, v, token, np.log10(c + 1.0), classes, np.log10(mass + kinds + 1), weights, bias)
 
 
@@ -248,9 +276,8 @@ def _score(model: Model):
                 owner = np.repeat(np.arange(n), size)
                 f, y = features(t), classes.of(t)
                 logp = np.empty(len(y))
-                for low in range(0, len(y), _CHUNK):
-                    goal = y[low : low + _CHUNK]
-                    logp[low : low + _CHUNK] = _log_softmax(weights, bias, f[:, low : low + _CHUNK])[np.arange(len(goal)), goal]
+                for low in range(0, len(y), _LONG_CHUNK):
+                    logp[low : low + _LONG_CHUNK] = log_classes(weights, bias, f[:, low : low + _LONG_CHUNK], y[low : low + _LONG_CHUNK])
                 model_log = np.bincount(owner, logp / np.log(10) - class_log[y], n)
                 unique, inverse = np.unique(t.hash, return_inverse=True)
                 if len(head):

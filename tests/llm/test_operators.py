@@ -530,8 +530,9 @@ def test_lm_probabilities_add_up_to_one(spark):
     """Over all classes, and over the seen and the unknown tokens of each class."""
     rows = [(i, prose(i, 30)) for i in range(40)]
     model = lm.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    f = np.zeros((3, 1), np.int64)
-    assert abs(np.exp(lm._log_softmax(model.weights, model.bias, f)).sum() - 1) < 1e-4
+    f = np.array([[7], [11], [13]])
+    every = [np.exp(lm.log_classes(model.weights, model.bias, f, np.array([y])))[0] for y in range(lm.CLASSES)]
+    assert abs(sum(every) - 1) < 1e-4
     counts = collections.Counter(w for _, t in rows for w in [*t.split(" "), None])
     assert model.n == sum(counts.values()) and model.v == len(counts)
     # each class: (c + 1) of its tokens and 1 for unknown ones, over mass + kinds + 1
@@ -544,7 +545,28 @@ def test_lm_weights_learn_from_every_training_text(spark):
     texts = [f"a{i} b{i}" for i in range(24_000)]
     model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), rounds=1)
     rows = np.unique(np.concatenate([lm.features(lm.tokens(piece)).ravel() for piece in B.slices(pa.array(texts))]))
-    assert (model.weights[rows] != 0).any(1).all()
+    assert (model.weights[rows * (lm._SIDE + 1)] != 0).any(1).all()
+
+
+def test_lm_score_equals_plain_sums(spark):
+    """Each token: the softmax of its group, that of its class in the group, and its share of the class."""
+    texts = [prose(i, 25) for i in range(30)] + ["Zebra unknown", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm.train(frame.where("doc_id < 30").select("text"))
+    counts = collections.Counter(w for t in texts[:30] for w in [*t.translate(LOWER).split(" "), None])
+    got = {r["doc_id"]: r["score"] for r in lm.score(frame, model).collect()}
+    for i, text in enumerate(texts):
+        piece = next(B.slices(pa.array([text], pa.string())))
+        t = lm.tokens(piece)
+        words = [*(text or "").translate(LOWER).split(), None]
+        want = 0.0
+        for word, f, y in zip(words, lm.features(t).T, model.classes.of(t)):
+            group, inner = divmod(int(y), lm._SIDE)
+            for row, goal in ((0, group), (1 + group, inner)):
+                z = [model.bias[row][k] + sum(model.weights[int(x) * (lm._SIDE + 1) + row][k] for x in f) for k in range(lm._SIDE)]
+                want += math.log10(math.exp(z[goal]) / sum(map(math.exp, z)))
+            want += math.log10(counts[word] + 1) - model.class_log[y]
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))
 
 
 # --- 10: chat
