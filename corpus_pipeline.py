@@ -20,7 +20,7 @@ from repolens.llm.substrings import remove_passages
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letter, or no language with half of their letters."""
+    """Documents go that have no letter, or less than half of their letters in learned languages."""
     return only_identified(docs)
 
 
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words, and strings of 400 bytes, that occur more than once are cut out of texts; n_chars follows. Every row stays."""
-    return remove_passages(docs, words=51).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return remove_passages(docs, words=51).withColumn("n_chars", F.length("text").cast("bigint")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

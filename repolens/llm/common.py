@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,19 @@ def schema_with(df: DataFrame, keep, added: str) -> T.StructType:
     return T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(added).fields])
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs as the needed columns and one struct of all others, and what lays such a frame out as docs again.
+
+    The latter takes the frame and the names of columns to add behind those of docs.
+
+    Between the two, columns of any name can be added without meeting one of the caller's.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest_")] if others else []
+    narrow = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c in needed), *rest)
+    return narrow, lambda df, *more: df.select(*(F.col("rest_").getField(c).alias(c) if c in others else F.col(f"`{c}`") for c in docs.columns), *more)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share.
 

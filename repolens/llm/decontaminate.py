@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .common import apart
 from .substrings import sliding_min
 
 WINDOW = 10
@@ -169,11 +170,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored. items: sorted distinct
     item ids, as strings. Words are ASCII letters and digits (A-Z lower-cased) and all non-ASCII characters; a
-    null text has none, and an item without words or with a null id matches nothing. A repeated row (the same
+    null text has none, and an item without words matches nothing. The words that an item with a null id hits
+    count, but items has no id for it. A repeated row (the same
     id and text) is one document; k, the hash of its text, tells documents that share an id apart.
     """
     B.bounded_batches(docs.sparkSession)
-    found = benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(_items, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, fp bigint, at int, ctx string, m int")
+    found = benchmark.select("item_id", "text").mapInArrow(_items, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, fp bigint, at int, ctx string, m int")
     items = found.groupBy("fp", "m", F.col("at").alias("i_at"), F.col("ctx").alias("i_ctx")).agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
     # at most BITMAP_BITS / 64 words and WINDOW lengths reach the driver, for any benchmark
     packed = found.select("fp").mapInArrow(_slots, "slot bigint").groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
@@ -207,6 +209,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item; columns stay as they are."""
+    narrow, back = apart(docs, "doc_id", "text")
     bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("k").alias("__k")).distinct()
-    keyed = docs.withColumn("__k", _key())
-    return keyed.join(bad, "__k", "left_anti").drop("__k").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return back(narrow.withColumn("__k", _key()).join(bad, "__k", "left_anti"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import schema_with
+from .common import apart, schema_with
 
 #: Training reads about this many labelled rows, picked by a hash of doc_id, at any size of the table.
 TRAIN_ROWS = 20_000
@@ -197,16 +197,16 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def label_slice(piece: B.Slice, model: Model) -> tuple[list, np.ndarray, np.ndarray, list, list]:
-    """Label (or None), score, number of spans, and (lang, words) of the spans of each text of a slice."""
+def label_slice(piece: B.Slice, model: Model) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """Label (or None), score, share of all languages, number of spans, and (lang, words) of the spans of each text of a slice."""
     w = B.words(piece, LETTERS)
     n, states = piece.n, len(model.languages)
     labels: list = [None] * n
-    share, n_spans = np.zeros(n), np.zeros(n, np.int64)
+    share, known_share, n_spans = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
     langs: list = [[] for _ in range(n)]
     counts: list = [[] for _ in range(n)]
     if not len(w.hash) or not states:
-        return labels, share, n_spans, langs, counts
+        return labels, share, known_share, n_spans, langs, counts
     words = _distinct(piece, w)
     summed = np.add.reduceat(sum(model.weights[words.cells[:, s]] for s in range(len(_SIZES))), words.first, axis=0)
     allowed = model.allowed[words.script]
@@ -234,30 +234,31 @@ def label_slice(piece: B.Slice, model: Model) -> tuple[list, np.ndarray, np.ndar
         if ascii_letter[d] or (total[d] and has_letter(piece.data[a:b].tobytes())):
             best = int(mass[d].argmax()) if mass[d].any() else model.default
             labels[d] = model.languages[best]
-            share[d] = mass[d, best] / max(total[d], 1)
-    return labels, share, n_spans, langs, counts
+            share[d], known_share[d] = mass[d, best] / max(total[d], 1), mass[d].sum() / max(total[d], 1)
+    return labels, share, known_share, n_spans, langs, counts
 
 
 def _label(model: Model, keep: tuple[str, ...], names: list[str]):
     def run(batches):
         for batch in batches:
             for piece in B.slices(batch.column("__text")):
-                labels, share, n_spans, langs, counts = label_slice(piece, model)
+                labels, share, known, n_spans, langs, counts = label_slice(piece, model)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column("__text" if c == "text" else c).slice(piece.first, piece.n) for c in keep), pa.array([x or UNDETERMINED for x in labels]), pa.array(share), pa.array(n_spans, pa.int64()), pa.array(langs, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
+                    [*(batch.column("__text" if c == "text" else c).slice(piece.first, piece.n) for c in keep), pa.array([x or UNDETERMINED for x in labels]), pa.array(share), pa.array(known), pa.array(n_spans, pa.int64()), pa.array(langs, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
                     [*keep, *names],
                 )
 
     return run
 
 
-_LABELS = {"lang_pred": "string", "score": "double", "n_spans": "bigint", "span_langs": "array<string>", "span_words": "array<int>"}
+_LABELS = {"lang_pred": "string", "score": "double", "known": "double", "n_spans": "bigint", "span_langs": "array<string>", "span_words": "array<int>"}
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """The ``keep`` columns and lang_pred, score, n_spans, span_langs, span_words of each row of docs.
+    """The ``keep`` columns and lang_pred, score, known, n_spans, span_langs, span_words of each row of docs.
 
-    prefix goes before the new names, where docs has columns called so.
+    prefix goes before the new names, where docs has columns called so. score: the share of the letters in words of
+    lang_pred, known: in words of any learned language.
 
     lang_pred: a learned language, or ``und`` if the text is null or has no letter (score 0, no spans). A text
     with letters of unlearned scripts only gets the commonest learned language with score 0. Only the text is
@@ -280,12 +281,14 @@ def language_report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def only_identified(docs: DataFrame, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs without texts that have no language, or none with ``least`` of the letters; columns stay.
+    """docs without texts that have no language, or less than ``least`` of their letters in learned ones; columns stay.
 
-    Without a single labelled row there is no model to reject anything by, and all of docs stays.
+    A text that mixes learned languages stays, in whatever shares. Without a single labelled row there is no model
+    to reject anything by, and all of docs stays.
     """
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"), rows)
     if not model.languages:
         return docs
-    found = identify(docs, model, keep=tuple(docs.columns), prefix="__")
-    return found.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    narrow, back = apart(docs, "doc_id", "text")
+    found = identify(narrow, model, keep=tuple(narrow.columns), prefix="__")
+    return back(found.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__known") >= least)))

@@ -13,9 +13,13 @@ row of the input is in the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import apart
+
 BLOCK_ROWS = 16
 BUCKET_ROWS = 4000
 
@@ -87,10 +91,11 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     """
     if other < 1 or any(int(w) != w or w < 1 for w in weights.values()):
         raise ValueError("weights are positive integers")
+    divisor = math.gcd(other, *map(int, weights.values()))
     names = sorted(weights)
     number = F.coalesce(F.create_map(*(F.lit(x) for i, name in enumerate(names) for x in (name, i)))[F.col("source")], F.lit(len(names))) if names else F.lit(0)
-    rest = [c for c in docs.columns if c not in ("phase", "block", "slot", "position")]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in rest)).withColumns(
+    narrow, back = apart(docs.drop("phase", "block", "slot", "position"), "doc_id", "text", "source")
+    keyed = narrow.withColumns(
         {"__s": number, "__h": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))}
     )
     many = max(1, -(-docs.count() // BUCKET_ROWS))
@@ -103,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
         .withColumn("__r", F.col("__r") + F.col("__before"))
         .withColumn("block", F.expr(f"__r div {block_rows}"))
     )
-    weight = F.element_at(F.array(*(F.lit(int(weights[x])) for x in names), F.lit(other)), F.col("__s") + 1)
+    weight = F.element_at(F.array(*(F.lit(int(weights[x]) // divisor) for x in names), F.lit(other // divisor)), F.col("__s") + 1)
     supply = counts.groupBy("__s").agg(F.sum("__n").alias("n")).select(F.col("__s").alias("s"), weight.alias("w"), F.expr(f"(n + {block_rows - 1}) div {block_rows}").alias("n"))
     numbered = _dense(supply)
     # one row for each entry of weights, and one for other sources
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     placed = ranked.join(F.broadcast(plan), "__s").withColumn("__p", F.expr("filter(phases, p -> p.first <= block AND block < p.first + p.issues)[0]"))
     slot = "__p.base + ((block - __p.first) div size(__p.slots)) * __p.period + __p.slots[cast((block - __p.first) % size(__p.slots) AS int)]"
     placed = placed.withColumn("slot", F.expr(slot)).withColumn("position", F.expr(f"slot * {block_rows} + __r % {block_rows}"))
-    return placed.select(*(F.col(f"`{c}`") for c in rest), F.col("__p.phase").cast("bigint").alias("phase"), "block", "slot", "position").orderBy("position")
+    return back(placed.withColumn("phase", F.col("__p.phase").cast("bigint")), "phase", "block", "slot", "position").orderBy("position")
 
 
 def _dense(supply: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import components, settle, small
+from .common import apart, components, settle, small
 
 BAND_ROWS = 6
 #: Chance that no band of a pair exactly at the threshold agrees; the number of bands follows.
@@ -318,8 +318,8 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> D
 
     Rows with equal doc_id and text are one document. Rows with null doc_id all stay. Eager.
     """
-    key = ["doc_id", F.xxhash64("text").alias("__t")]
-    if not docs.select(*key).groupBy("doc_id", "__t").count().where("count > 1").isEmpty():
+    if not docs.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id", "t").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
     gone = settle(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    narrow, back = apart(docs, "doc_id", "text")
+    return back(narrow.join(small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import schema_with, settle, small
+from .common import apart, schema_with, settle, small
 
 GRAM = 100
 WORD_GRAM = 12
@@ -464,8 +464,8 @@ def remove_passages(docs: DataFrame, words: int, least: int = 400) -> DataFrame:
 
 def without(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """docs with the given spans taken out of the text column."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = schema_with(docs, rest, "__new string")
-    joined = attach(docs, spans, extra).select(*(F.col(f"`{c}`") for c in rest), F.col("text").alias("__text"), "__starts", "__ends", *extra)
-    done = joined.mapInArrow(_rewrite, schema).withColumnRenamed("__new", "text")
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns))
+    narrow, back = apart(docs, "doc_id", "text")
+    rest = [c for c in narrow.columns if c != "text"]
+    schema = schema_with(narrow, rest, "__new string")
+    joined = attach(narrow, spans, extra).select(*rest, F.col("text").alias("__text"), "__starts", "__ends", *extra)
+    return back(joined.mapInArrow(_rewrite, schema).withColumnRenamed("__new", "text"))

@@ -59,3 +59,26 @@ def test_substring_stage_reaches_every_passage_of_over_50_words(spark):
     out = pipeline.substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), "").collect()
     assert len(out) == 2 and not any(item in r["text"] for r in out) and all(r["n_chars"] == len(r["text"]) for r in out)
     assert all(r["text"].startswith(prose(800 + r["doc_id"], 70)) and r["text"].endswith(prose(900 + r["doc_id"], 70)) for r in out)
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Extra columns with names that the stages use themselves, nulls in every column, repeated rows, an empty table."""
+    names = ["__k", "__d", "__s", "__h", "__t", "__text", "__starts", "phase_", "rest_", "a.b", "k", "wanted", "doc"]
+    rows = [(300 + i, prose(300 + i, 60), "en", "src1", 0) for i in range(4)] + [(303, prose(303, 60), "en", "src1", 0), (None, prose(330, 60), None, None, None), (340, None, None, None, None), (341, "", "en", "src1", 0)]
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        got = [r.asDict() for r in out.collect()]
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names), name
+        assert {r["doc_id"] for r in got} >= {None, 300, 301, 302, 303}, name
+        assert stage(spark, docs.where("doc_id < 0"), folder).count() == 0, name
+
+
+def test_language_stage_keeps_texts_of_several_languages(spark):
+    words = {"aa": ["bakolu", "mirate", "sanopi", "tulega"], "bb": ["xyzzyq", "wqvrrk", "zzkwpt", "qqjhxv"], "cc": ["straße", "größer", "höhlen", "müßig"]}
+    text = lambda lang, n: " ".join(words[lang][i % 4] for i in range(n))
+    rows = [(i, text(lang, 40), lang) for i, lang in enumerate([*words] * 20)]
+    rows += [(900, " ".join(text(lang, 12) for lang in words), None), (901, "漢字" * 40, None), (902, "1234 5678", None)]
+    left = {r["doc_id"] for r in pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()}
+    assert left == set(range(60)) | {900}
