@@ -39,7 +39,7 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_report(table(spark, sf_dir, "documents"), least=400)
+    return substring_report(table(spark, sf_dir, "documents"), least=400, words=51)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,31 +399,38 @@ def _keep(text: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def _digests(batches):
     for batch in batches:
-        more = batch.schema.names[4:]
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        rows = list(zip(texts, batch.column("starts").to_pylist(), batch.column("ends").to_pylist()))
-        kept = [_keep(t or b"", s or [], e or []) for t, s, e in rows]
+        starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
+        kept = [_keep(t or b"", s or [], e or []) for t, s, e in zip(texts, starts, ends)]
         size = [len(t or b"") for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array([n - len(x) for n, x in zip(size, kept)], pa.int64()), pa.array([len(s or []) for _, s, _ in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), *(batch.column(c) for c in more)],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more],
-        )
-
-
-def substring_report(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataFrame:
+        columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array([n - len(x) for n, x in zip(size, kept)], pa.int64()), pa.array([len(s or []) for s in starts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if "n_repeated" in batch.schema.names:
+            columns.append(batch.column("n_repeated"))
+            names.append("n_repeated")
+        if "__first" in batch.schema.names:
+            both = (_with_passages(*r)[1:] for r in zip(texts, starts, ends, batch.column("__first").to_pylist(), batch.column("__last").to_pylist()))
+            columns.append(pa.array([sum(e or ()) - sum(s or ()) for s, e in both], pa.int64()))
+            names.append("n_repeated")
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def substring_report(docs: DataFrame, least: int = 400, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs.
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty. A row that repeats
-    another, id included, is a copy like any other: all its repeated bytes go.
+    another, id included, is a copy like any other: all its repeated bytes go. With words, n_repeated follows: the
+    bytes that these strings and repeated passages of ``words`` words cover, which takes nothing more out.
     """
-    return digests(docs.select("doc_id", "text"), repeated_spans(docs, least, gram))
+    docs = docs.select("doc_id", "text")
+    return digests(docs, repeated_spans(docs, least, gram)) if words is None else digests(docs, _with_words(docs, words, least), ("__first", "__last"))
 
 
 def digests(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """substring_report()'s columns for texts without the given spans, and bigint columns of spans (0 for texts that have none)."""
-    joined = attach(docs, spans, extra).select("doc_id", "text", F.col("__starts").alias("starts"), F.col("__ends").alias("ends"), *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in extra))
-    schema = ", ".join(["doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *(f"{c} bigint" for c in extra)])
-    return joined.mapInArrow(_digests, schema)
+    """substring_report()'s columns for texts without the given spans; n_repeated from a column of spans so called, or word spans."""
+    counted = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) if c == "n_repeated" else F.col(c) for c in extra]
+    joined = attach(docs, spans, extra).select("doc_id", "text", F.col("__starts").alias("starts"), F.col("__ends").alias("ends"), *counted)
+    return joined.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", n_repeated bigint" if extra else ""))
 
 
 def _with_passages(text: bytes | None, starts: list[int] | None, ends: list[int] | None, first: list[int] | None, last: list[int] | None):
@@ -455,11 +462,16 @@ def remove_repeats(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataF
 
 def remove_passages(docs: DataFrame, words: int, least: int = 400) -> DataFrame:
     """remove_repeats(), and repeated passages of ``words`` words, however short, go too."""
+    return without(docs, _with_words(docs, words, least), ("__first", "__last"))
+
+
+def _with_words(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """repeated_spans(), with __first and __last, the word spans of repeated_passages()."""
     none = F.lit(None).cast("array<bigint>")
     in_bytes = repeated_spans(docs, least).select("d", "k", "starts", "ends", none.alias("__first"), none.alias("__last"))
     in_words = repeated_passages(docs, words).select("d", "k", none.alias("starts"), none.alias("ends"), F.col("starts").alias("__first"), F.col("ends").alias("__last"))
     both = in_bytes.unionByName(in_words).groupBy("d", "k").agg(*(F.coalesce(F.first(c, ignorenulls=True), F.array().cast("array<bigint>")).alias(c) for c in ("starts", "ends", "__first", "__last")))
-    return without(docs, settle(both), ("__first", "__last"))
+    return settle(both)
 
 
 def without(docs: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -219,6 +220,16 @@ def test_substring_report_equals_brute_force(docs):
         kept = np.frombuffer(b, np.uint8)[~g].tobytes()
         want.append((r["doc_id"], len(b), int(g.sum()), int((np.diff(np.concatenate([[0], g.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     assert by_row(substrings.substring_report(docs)) == sorted(want, key=repr)
+    assert by_row(substrings.substring_report(docs, words=51).drop("n_repeated")) == sorted(want, key=repr)
+
+
+def test_substring_report_counts_short_passages(spark):
+    """A passage of 51 words under 400 bytes is repeated, but not removed; one of 50 words is neither."""
+    item, short = prose(90, 51), prose(91, 50)
+    assert len(item) < 400
+    rows = [(i, " ".join([prose(810 + i, 70), item, prose(910 + i, 20), short, prose(960 + i, 70)])) for i in range(2)] + [(2, prose(830, 90)), (3, None)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_repeated"]) for r in substrings.substring_report(spark.createDataFrame(rows, "doc_id bigint, text string"), words=51).collect()}
+    assert got == {0: (0, len(item)), 1: (0, len(item)), 2: (0, 0), 3: (0, 0)}
 
 
 def test_open_borders_are_common_prefixes():
@@ -572,17 +583,66 @@ def test_lm_score_equals_plain_sums(spark):
 # --- 10: chat
 
 
-def test_chat_recovers_roles_and_renders(spark):
+def chats(n: int, turns: int = 8):
+    """Conversations as rows: a system turn in every fourth, then users, who are brief, and assistants, who are not."""
     r = random.Random(12)
-    rows = [(c, t, ["user", "assistant"][t % 2], prose(1000 * c + t, r.randint(3, 30)) + ("\n" + prose(t, 9) if t % 3 == 0 else "")) for c in range(60) for t in range(r.randint(1, 8))]
-    rows += [(c, -1, "system", "You are told what to do.") for c in range(0, 60, 4)]
-    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    rows = [(c, t, ["user", "assistant"][t % 2], prose(1000 * c + t, r.randint(3, 12) if t % 2 == 0 else r.randint(30, 60)) + ("\n" + prose(t, 9) if t % 3 == 1 else "")) for c in range(n) for t in range(r.randint(1, turns))]
+    return rows + [(c, -1, "system", "You are told what to do.") for c in range(0, n, 4)]
+
+
+CHAT = "conv_id bigint, turn bigint, role string, text string"
+
+
+def by_markers_only(text: str) -> list[str]:
+    """Roles of the lines with a marker; an unmarked line goes on with the turn before it."""
+    return [chat.ROLES[(s[0] // 2 - 1) // 2] for s in chat.observed(text)[2] if s[0] >= 2]
+
+
+def test_chat_recovers_marked_and_unmarked_roles(spark):
+    """Every style on conversations held out from the fit; markers alone lose the unmarked turns of styles 3 and 4."""
+    frame = spark.createDataFrame(chats(300), CHAT)
     frame = frame.unionByName(frame.limit(5)).withColumn("roles", F.lit("clash"))
-    made = chat.transcripts(frame)
-    out = chat.format_chat(made).where("truth = roles").count()
-    assert out >= 0.97 * made.count()
+    laid = chat.transcripts(frame)
+    made = chat.format_chat(laid.withColumn("raw", F.col("transcript")), text="raw", model=chat.fit(laid)).where(langid.held_out("conv_id")).withColumn("style", chat.style_of())
+    hits, base, n = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in made.collect():
+        n[r["style"]] += 1
+        hits[r["style"]] += r["roles"] == r["truth"]
+        base[r["style"]] += by_markers_only(r["transcript"]) == r["truth"]
+    assert set(n) == set(range(chat.STYLES))
+    assert all(hits[s] >= 0.95 * n[s] for s in n), (hits, n)
+    assert all(base[s] <= 0.6 * n[s] for s in (3, 4)), (base, n)
     report = chat.chat_report(frame)
-    assert report.count() == 60 and report.where("rendered NOT LIKE '<|im_start|>%'").count() == 0
+    assert report.count() == 300 and report.where("rendered NOT LIKE '<|im_start|>%'").count() == 0
+
+
+def test_chat_viterbi_equals_all_state_sequences():
+    r = np.random.default_rng(5)
+    model = chat.model_of()
+    paths = np.array(list(itertools.product(range(chat._STATES), repeat=4)))
+    for _ in range(20):
+        scores = r.normal(size=(4, chat._STATES)) * 3
+        value = model.start[paths[:, 0]] + scores[np.arange(4), paths].sum(1) + model.move[paths[:, :-1], paths[:, 1:]].sum(1)
+        assert chat.best_states(scores, model) == paths[value.argmax()].tolist()
+        for before, last in ((None, 3), (2, 5), (4, 1)):
+            value = (model.start if before is None else model.move[before])[paths[:, 0]] + scores[np.arange(4), paths].sum(1) + model.move[paths[:, :-1], paths[:, 1:]].sum(1)
+            value[paths[:, -1] != last] = -np.inf
+            assert chat.best_states(scores, model, before, last) == paths[value.argmax()].tolist()
+            assert abs(chat.best_scores(scores, model, before is None)[before or 0, last] - value.max()) < 1e-9
+    assert chat.best_states(np.zeros((1, chat._STATES)) - model.start, model) == [0]
+
+
+def test_chat_long_conversation_is_one_sequence(spark, monkeypatch):
+    """1,000 turns in parts: the roles are those of the parts decoded as one transcript."""
+    rows = [(7, t, ["user", "assistant"][t % 2], prose(t, 5 if t % 2 == 0 else 40)) for t in range(1000)] + [(8, 0, "user", "hi"), (None, 300, "user", "no id"), (None, 5, "user", "no id")]
+    frame = spark.createDataFrame(rows, CHAT)
+    parts = chat.transcripts(frame)
+    model = chat.model_of()
+    got = sorted(((r["segment"], r["roles"], r["transcript"]) for r in chat.format_chat(parts.withColumn("raw", F.col("transcript")), text="raw", model=model).where("conv_id = 7").collect()))
+    assert len(got) == 4
+    whole = [role for role, _ in chat.parse("\n".join(x for _, _, x in got), model)]
+    assert [role for _, roles, _ in got for role in roles] == whole
+    assert chat.chat_report(frame).count() == 4 + 1 + 2
 
 
 def test_chat_parse_cases():
@@ -592,6 +652,14 @@ def test_chat_parse_cases():
     assert chat.render([("user", "a")]) == "<|im_start|>user\na<|im_end|>\n"
 
 
+def test_chat_edge_rows(spark):
+    """Null and unknown roles, null and very long texts, ties of turn, repeated rows, null ids."""
+    rows = [(1, 0, "user", "a b"), (1, 0, "user", "a b"), (1, 1, None, None), (1, 2, "tool", "x"), (2, 0, "user", LONG), (2, 1, "assistant", "b"), (2, 1, "assistant", "c"), (None, None, None, None), (3, None, "user", "q?")]
+    out = {r["conv_id"]: r for r in chat.chat_report(spark.createDataFrame(rows, CHAT)).collect()}
+    assert set(out) == {1, 2, 3, None} and out[None]["n_turns"] == 0 and out[None]["rendered"] == ""
+    assert out[2]["roles"].startswith("user,assistant") and LONG in out[2]["rendered"] and out[3]["roles"] == "user"
+
+
 # --- empty tables
 
 
