@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import re
+from re import _constants as K
+from re import _parser
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _WORD = r"\p{L}\p{N}_"
 
@@ -71,3 +76,53 @@ def whole_word(symbol: str) -> str:
 def replacement(text: str) -> str:
     """A replacement string that stands for the text itself."""
     return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def needles(pattern: str, fold: bool = True) -> frozenset[str] | None:
+    """ASCII texts of which every match of a pattern holds one, or None: in lower case, or with fold=False as they stand.
+
+    Of all such sets that the pattern's parts give, the one whose shortest text is longest. A pattern that does
+    not regard case has no texts as they stand.
+    """
+    parsed = _parser.parse(pattern)
+    if not fold and parsed.state.flags & re.IGNORECASE:
+        return None
+    letter = lambda c: chr(c).lower() if fold else chr(c)
+
+    def of(items) -> frozenset[str] | None:
+        found: list[frozenset[str]] = []
+        run = ""
+        for op, value in [*items, (None, None)]:
+            if op is K.IN and all(o is K.LITERAL for o, _ in value) and len({letter(c) for _, c in value}) == 1:
+                op, value = value[0]
+            if op is K.LITERAL and value < 128:
+                run += letter(value)
+                continue
+            if run:
+                found.append(frozenset([run]))
+            run, part = "", None
+            if op is K.SUBPATTERN:
+                part = of(value[-1])
+            elif op is K.BRANCH:
+                parts = [of(x) for x in value[1]]
+                part = frozenset().union(*parts) if all(parts) else None
+            elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and value[0]:
+                part = of(value[2])
+            if part:
+                found.append(part)
+        return max(found, key=lambda x: min(map(len, x)), default=None)
+
+    return of(parsed)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, in which the letters that match ASCII ones without regard to case are these."""
+    return F.translate(F.lower(text), "\u017f\u0131\u0307", "si")
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """False only where a pattern cannot match the text that low is folded() of."""
+    out = F.lit(True)
+    for i, text in enumerate(sorted(needles(pattern) or ())):
+        out = low.contains(text) if i == 0 else out | low.contains(text)
+    return out

@@ -46,17 +46,42 @@ def matches(files: DataFrame, pattern: str, groups: int | tuple[int, ...] = 1, c
     """
     rest = [c for c in files.columns if c not in (content, "line_no", "ord")]
     wanted = range(1, groups + 1) if isinstance(groups, int) else groups
-    flags, body = _flags(anchored or pattern)
-    again = f"{flags}\\A(?:{body})"
-    parts = F.split(F.regexp_replace(F.col(content), pattern, MARK + "$0"), MARK, -1)
+    found = _placed(files.select(*rest, _parts(F.col(content), pattern).alias("__parts")), rest)
+    return found.select(*rest, "line_no", "ord", *(F.regexp_extract(F.col("part"), _again(anchored or pattern), g).alias(f"g{g}") for g in wanted))
+
+
+def matches_of(files: DataFrame, rules: list[tuple[str, int]], content: str = "content") -> DataFrame:
+    """One row for each match of each (Java pattern, group) in each file: rule (its place), line_no, ord, g; one read of the files."""
+    rest = [c for c in files.columns if c not in (content, "rule", "line_no", "ord", "g")]
+    each = F.array(*(F.struct(F.lit(i).alias("rule"), _parts(F.col(content), pattern).alias("parts")) for i, (pattern, _) in enumerate(rules)))
+    split = files.select(*rest, F.explode(F.filter(each, lambda r: F.size(r["parts"]) > 1)).alias("__r")).select(*rest, F.col("__r.rule").alias("rule"), F.col("__r.parts").alias("__parts"))
+    found = _placed(split, [*rest, "rule"])
+    group = F.lit(None).cast("string")
+    for i, (pattern, g) in enumerate(rules):
+        group = F.when(F.col("rule") == i, F.regexp_extract(F.col("part"), _again(pattern), g)).otherwise(group)
+    return found.select(*rest, "rule", "line_no", "ord", group.alias("g"))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text before the first match of a pattern, then from each match to the next."""
+    return F.split(F.regexp_replace(text, pattern, MARK + "$0"), MARK, -1)
+
+
+def _again(pattern: str) -> str:
+    flags, body = _flags(pattern)
+    return f"{flags}\\A(?:{body})"
+
+
+def _placed(split: DataFrame, rest: list[str]) -> DataFrame:
+    """The rest columns, ord, line_no and part of each match, from __parts."""
     added = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    parts = F.col("__parts")
     # newlines before a part: whole blocks of parts, then the rest of its block
-    split = files.withColumn("__n", F.transform(parts, lambda p: F.size(F.split(p, "\n", -1)) - 1))
+    split = split.withColumn("__n", F.transform(parts, lambda p: F.size(F.split(p, "\n", -1)) - 1))
     split = split.withColumn("__blocks", F.transform(F.sequence(F.lit(0), F.size("__n"), F.lit(_BLOCK)), lambda at: added(F.slice("__n", at + 1, F.lit(_BLOCK)))))
     before = lambda i: added(F.slice("__blocks", F.lit(1), F.floor(i / _BLOCK).cast("int"))) + added(F.slice("__n", (i - i % _BLOCK) + 1, i % _BLOCK))
     hits = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("part"), i.alias("ord"), (before(i + 1) + 1).alias("line_no")))
-    found = split.select(*rest, F.explode(hits).alias("m"))
-    return found.select(*rest, F.col("m.line_no").alias("line_no"), F.col("m.ord").alias("ord"), *(F.regexp_extract(F.col("m.part"), again, g).alias(f"g{g}") for g in wanted))
+    return split.select(*rest, F.explode(hits).alias("m")).select(*rest, F.col("m.part").alias("part"), F.col("m.ord").alias("ord"), F.col("m.line_no").alias("line_no"))
 
 
 def _flags(pattern: str) -> tuple[str, str]:

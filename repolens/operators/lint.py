@@ -20,20 +20,26 @@ _BLOCK = r"^\s*(\d+):(\d+)\s+(warning|error)\s+(.+?)\s+(?:\S+(?:/\S+)?)?\s*$"
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def _issue(line: Column, name: str, pattern: str, fields: dict[str, int]) -> Column:
-    p = java(pattern)
-    get = lambda f: F.regexp_extract(line, p, fields[f]) if f in fields else F.lit(None).cast("string")
-    return F.struct(F.lit(name).alias("parser"), get("file").alias("file"), get("line").cast("int").alias("line"), get("col").cast("int").alias("col"), get("severity").alias("severity"), get("message").alias("message"))
+_FIELDS = ("file", "line", "col", "severity", "message")
+_CUT = "\x1f"
 
 
 def parse_lines(output: DataFrame, column: str = "text") -> DataFrame:
-    """All other columns, and parser, file, line, col, severity, message, by the first format that a line matches."""
-    rest = [c for c in output.columns if c not in (column, "parser", "file", "line", "col", "severity", "message")]
-    text = F.btrim(F.col(column), F.lit(_SPACE))
-    out = F.lit(None)
+    """All other columns, and parser, file, line, col, severity, message, by the first format that a line matches.
+
+    The patterns cover a whole line, so one replacement lays its fields side by side behind the parser's name;
+    the unit separator (U+001F) stands between them, and in the line itself counts as a blank.
+    """
+    rest = [c for c in output.columns if c not in (column, "parser", *_FIELDS)]
+    text = F.translate(F.btrim(F.col(column), F.lit(_SPACE)), _CUT, " ")
+    laid = F.lit(None).cast("string")
     for name, pattern, fields in reversed(FORMATS):
-        out = F.when(text.rlike(java(pattern)), _issue(text, name, pattern, fields)).otherwise(out)
-    return output.select(*rest, out.alias("i")).where("i IS NOT NULL").select(*rest, "i.*")
+        shape = _CUT.join([name, *(f"${fields[f]}" if f in fields else "" for f in _FIELDS)])
+        laid = F.when(text.rlike(java(pattern)), F.regexp_replace(text, java(pattern), shape)).otherwise(laid)
+    # the generator holds the expression in one place: a projection would repeat it for each field
+    parts = output.select(*rest, F.explode(F.array_compact(F.array(laid))).alias("__laid")).select(*rest, F.split("__laid", _CUT).alias("__p"))
+    get = lambda f: F.nullif(F.col("__p")[1 + _FIELDS.index(f)], F.lit("")) if f in ("line", "col", "severity") else F.col("__p")[1 + _FIELDS.index(f)]
+    return parts.select(*rest, F.col("__p")[0].alias("parser"), get("file").alias("file"), get("line").cast("int").alias("line"), get("col").cast("int").alias("col"), get("severity").alias("severity"), get("message").alias("message"))
 
 
 def parse_blocks(output: DataFrame, column: str = "text", run: str = "run", number: str = "line_no") -> DataFrame:

@@ -25,14 +25,15 @@ def facts_of(source: str | None) -> list[tuple]:
     """
     try:
         parsed = ast.parse(source or "")
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     lines = (source or "").split("\n")
+    wide = {i: line.encode() for i, line in enumerate(lines, 1) if not line.isascii()}
     rows: list[tuple] = []
 
     def column(node) -> int:
-        line = lines[node.lineno - 1] if 0 < node.lineno <= len(lines) else ""
-        return len(line.encode()[: node.col_offset].decode("utf-8", "replace"))
+        line = wide.get(node.lineno)
+        return node.col_offset if line is None else len(line[: node.col_offset].decode("utf-8", "replace"))
 
     def name_column(node, name: str) -> int:
         line = lines[node.lineno - 1]
@@ -44,16 +45,19 @@ def facts_of(source: str | None) -> list[tuple]:
             at = line.index(part, at) + len(part)
         return line.find(name, at)
 
-    def visit(node, scope: str, depth: int, functions: tuple[str, ...]) -> None:
-        inner, deeper, around = scope, depth, functions
+    # an explicit stack: long sums and chains of calls are deeper than Python may recurse
+    todo: list[tuple] = [(parsed, "", 0, False)]
+    while todo:
+        node, scope, depth, in_function = todo.pop()
+        inner, deeper, within = scope, depth, in_function
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             is_class = isinstance(node, ast.ClassDef)
             kind = "class" if is_class else "async_function" if isinstance(node, ast.AsyncFunctionDef) else "function"
             rows.append(("def", kind, node.name, node.lineno, node.end_lineno, scope, depth, name_column(node, node.name)))
             rows.append(("scope", "class" if is_class else "function", node.name, node.lineno, node.end_lineno, scope, depth, 0))
             deeper = depth + 1
-            inner = node.name if not is_class or not functions else scope
-            around = functions if is_class else (*functions, node.name)
+            inner = node.name if not is_class or not in_function else scope
+            within = in_function or not is_class
         elif isinstance(node, ast.Assign):
             for i, target in enumerate(node.targets):
                 if isinstance(target, ast.Name):
@@ -72,10 +76,7 @@ def facts_of(source: str | None) -> list[tuple]:
             rows.append(("ref", "load" if isinstance(node.ctx, ast.Load) else "store", node.id, node.lineno, node.end_lineno, scope, depth, column(node)))
         elif isinstance(node, ast.Attribute):
             rows.append(("ref", "attribute" if isinstance(node.ctx, ast.Load) else "attribute_store", node.attr, node.end_lineno, node.end_lineno, scope, depth, column(node)))
-        for child in ast.iter_child_nodes(node):
-            visit(child, inner, deeper, around)
-
-    visit(parsed, "", 0, ())
+        todo.extend((child, inner, deeper, within) for child in reversed(list(ast.iter_child_nodes(node))))
     return rows
 
 

@@ -18,19 +18,19 @@ from .symbols import blanked
 
 def renamed(files: DataFrame, old: str, new: str) -> DataFrame:
     """(path, content, changed): every whole word old replaced by new, taken literally."""
-    text = F.regexp_replace("content", whole_word(old), replacement(new))
+    text = F.when(F.col("content").contains(old), F.regexp_replace("content", whole_word(old), replacement(new))).otherwise(F.col("content"))
     return files.select("path", text.alias("__new"), "content").select("path", F.col("__new").alias("content"), (F.col("__new") != F.col("content")).alias("changed"))
 
 
 def rename_counts(files: DataFrame, old: str) -> DataFrame:
     """(path, occurrences): lines, not hits, with the word; files without it are left out."""
-    lines = with_lines(files.select("path", "content")).where(F.col("line").rlike(whole_word(old)))
+    lines = with_lines(files.where(F.col("content").contains(old)).select("path", "content")).where(F.col("line").contains(old) & F.col("line").rlike(whole_word(old)))
     return lines.groupBy("path").agg(F.count("*").alias("occurrences"))
 
 
 def word_spans(files: DataFrame, word: str) -> DataFrame:
     """(path, line, col): place of every whole word; col counts characters from 0."""
-    lines = with_lines(files.select("path", "content"))
+    lines = with_lines(files.where(F.col("content").contains(word)).select("path", "content"))
     parts = F.split(F.regexp_replace("line", whole_word(word), "\x01$0"), "\x01", -1)
     starts = F.aggregate(
         F.slice(parts, 1, F.size(parts) - 1),

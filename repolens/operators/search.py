@@ -6,11 +6,12 @@ Context comes from the lines of a file's own row, so a search has no exchange.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import java, whole_word
+from ..functions.regex import java, needles, whole_word
 from ..functions.text import with_lines
 from ..sources.files import included
 
@@ -33,14 +34,20 @@ def matching_lines(files: DataFrame, pattern: str, include: str | None = None) -
     found = checked(pattern)
     if include is not None:
         files = files.where(included("path", include))
-    lines = with_lines(files.select("path", "content"))
+    lines = with_lines(_holding(files, pattern).select("path", "content"))
     return lines.where(F.col("line").rlike(found)) if found else lines.limit(0)
 
 
+def _holding(files: DataFrame, pattern: str) -> DataFrame:
+    """Files without those that hold none of the texts that a match needs; others are never split into lines."""
+    texts = sorted(needles(pattern, fold=False) or ()) if checked(pattern) else []
+    return files.where(reduce(Column.__or__, (F.col("content").contains(t) for t in texts))) if texts else files
+
+
 def _hits(files: DataFrame, pattern: str) -> DataFrame:
     """(path, lines, hit: line_no and line) of each match; a file's lines stay together, so nothing is shuffled."""
     found = checked(pattern)
-    split = files.select("path", F.split("content", "\n", -1).alias("lines"))
+    split = _holding(files, pattern).select("path", F.split("content", "\n", -1).alias("lines"))
     if found is None:
         split = split.limit(0)
     numbered = F.transform("lines", lambda x, i: F.when(x.rlike(found or ""), F.struct((i + 1).alias("line_no"), x.alias("line"))))
@@ -67,7 +74,7 @@ def search_file(files: DataFrame, path: str, pattern: str, context: int = 0) ->
 
 def word_references(files: DataFrame, symbol: str, most: int = 120) -> DataFrame:
     """(type, path, line_no, context): lines with the whole word, one row each; context: 120 characters, trimmed."""
-    lines = with_lines(files.select("path", "content")).where(F.col("line").contains(symbol) & F.col("line").rlike(whole_word(symbol)))
+    lines = with_lines(files.where(F.col("content").contains(symbol)).select("path", "content")).where(F.col("line").contains(symbol) & F.col("line").rlike(whole_word(symbol)))
     return lines.select(F.lit("reference").alias("type"), "path", "line_no", F.btrim(F.substring("line", 1, most), F.lit(" \t\n\x0b\x0c\r")).alias("context"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import java
-from ..functions.text import first_by, matches, with_lines
+from ..functions.text import first_by, matches_of, with_lines
 
 # What symbols look like, with the kind of each.
 CPP_TAGS = (
@@ -63,13 +61,14 @@ KEYWORDS = (
 
 
 def by_rules(files: DataFrame, rules, name_group=lambda kind: 1) -> DataFrame:
-    """(path, name, kind, line, rule): matches of each rule over whole texts; rule: its place in the table."""
-    out = []
-    for i, (pattern, kind) in enumerate(rules):
-        g = name_group(kind)
-        found = matches(files.select("path", "content"), java(pattern), (g,))
-        out.append(found.select("path", F.col(f"g{g}").alias("name"), F.lit(kind).alias("kind"), F.col("line_no").alias("line"), F.lit(i).alias("rule")))
-    return reduce(DataFrame.unionByName, out)
+    """(path, name, kind, line, rule): matches of each rule over whole texts, in one pass over the files.
+
+    rule: its place in the table.
+    """
+    table = [(java(pattern), name_group(kind), kind) for pattern, kind in rules]
+    found = matches_of(files.select("path", "content"), [(pattern, g) for pattern, g, _ in table])
+    kinds = F.array(*(F.lit(kind) for _, _, kind in table))
+    return found.select("path", F.col("g").alias("name"), kinds[F.col("rule")].alias("kind"), F.col("line_no").alias("line"), "rule")
 
 
 def cpp_tags(files: DataFrame) -> DataFrame:

@@ -73,14 +73,17 @@ def enclosing(occurrences: DataFrame, scopes: DataFrame, innermost: bool = True,
     """Occurrences with the scope (name) around them, null at module level.
 
     An equality on path makes the interval join a hash join with a residual. Functions go before classes; of
-    several the innermost counts, or with innermost=False the one that begins first.
+    several the innermost counts, or with innermost=False the one that begins first. Equal occurrences meet the
+    scopes once and come back as often as they were.
     """
-    o, s = occurrences.alias("o"), scopes.alias("s")
+    counted = occurrences.groupBy(*occurrences.columns).agg(F.count("*").alias("__times"))
+    o, s = counted.alias("o"), scopes.alias("s")
     hit = (F.col("o.path") == F.col("s.path")) & F.col(f"o.{at}").between(F.col("s.start"), F.col("s.end"))
     size = F.col("s.end") - F.col("s.start")
     order = F.struct((F.col("s.kind") == "class").cast("int"), (size if innermost else F.col("s.start")), F.col("s.start") if not innermost else -F.col("s.start"))
-    keys = [F.col(f"o.{c}") for c in occurrences.columns]
-    return o.join(s, hit, "left").groupBy(*keys).agg(F.min_by("s.name", order).alias("scope"))
+    keys = [F.col(f"o.{c}") for c in counted.columns]
+    placed = o.join(s, hit, "left").groupBy(*keys).agg(F.min_by("s.name", order).alias("scope"))
+    return placed.select(*occurrences.columns, "scope", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def occurrences(files: DataFrame) -> DataFrame:

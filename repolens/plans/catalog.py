@@ -280,6 +280,17 @@ def audit_pages(spark, sf_dir):
     return secrets.findings(pages).where("severity = 'low' AND rule = 'token-field'").select("path", "line_no", "rule")
 
 
+@query(
+    f"""WITH p AS (SELECT CAST(page_id AS VARCHAR) AS path, string_split(html, chr(10)) AS ls FROM pages), lines AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM p), rules AS ({_rule_rows()}),
+    hits AS (SELECT path, line_no, severity, rule, row_number() OVER (PARTITION BY path, line_no, severity ORDER BY ord) AS rn FROM lines JOIN rules ON regexp_matches(line, pattern) WHERE NOT (line LIKE '%AKIA%' AND line LIKE '%EXAMPLE%'))
+    SELECT path, CAST(line_no AS INT) AS line_no, severity, rule FROM hits WHERE rn = 1"""
+)
+def audit_pages_all(spark, sf_dir):
+    """Every finding of every rule in the pages."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    return secrets.findings(pages).select("path", "line_no", "severity", "rule")
+
+
 def _secret_lines() -> list[tuple[str, str, str]]:
     """(severity, rule, line): one made-up line for rules, put together so that no secret is spelt out here."""
     h, a = "0123456789abcdef", "A1b2C3d4"
@@ -288,6 +299,18 @@ def _secret_lines() -> list[tuple[str, str, str]]:
         ("high", "github-token", "gh" + "p_" + a * 5),
         ("high", "google-api", "AI" + "za" + (a * 5)[:35]),
         ("high", "jwt-token", "ey" + "J" + a * 2 + "." + a * 2 + "." + a * 2),
+        ("high", "aws-secret", "aws_" + "secret_access_key " + (a * 5)[:40]),
+        ("high", "github-old", "sum " + (h * 3)[:40]),
+        ("high", "slack-token", "xo" + "xb-" + "1" * 11 + "-" + "2" * 11 + "-" + a * 3),
+        ("high", "slack-webhook", "https://hooks.slack" + ".com/services/" + "wxyz" * 11),
+        ("high", "ssh-private-key", "-----BEGIN RSA" + "KEY-----"),
+        ("high", "pgp-private-key", "-----BEGIN PGP " + "PRIVATE KEY BLOCK-----"),
+        ("high", "generic-secret", "pass" + "word: " + a * 2),
+        ("high", "generic-token", "tok" + "en='" + a * 3 + "'"),
+        ("high", "private-key-path", "cp id_" + "rsa x"),
+        ("high", "pypi-token", "pypi" + "-api-token of " + (a * 3)[:20]),
+        ("high", "stripe-test", "sk_" + "test_" + a * 3),
+        ("high", "twilio", "S" + "K" + (h * 2)),
         ("high", "npm-token", "np" + "m_" + (a * 5)[:36]),
         ("high", "stripe-live", "sk_" + "live_" + a * 3),
         ("high", "docker-config", '"auths" : auths' + " {"),
@@ -295,10 +318,20 @@ def _secret_lines() -> list[tuple[str, str, str]]:
         ("medium", "basic-auth-url", "https://user:" + "pw@host/x"),
         ("medium", "s3-endpoint", "https://s3" + ".eu.amazonaws.com/bucket"),
         ("medium", "redis-connection", "redis://u:" + "p@host"),
+        ("medium", "connection-string", "connstr = '" + "server=db;user=me;x" * 2 + "'"),
+        ("medium", "pg-connection", "postgres" + "://u:" + "p@host"),
+        ("medium", "mongo-connection", "mongodb" + "+srv://u:" + "p@host"),
+        ("medium", "mysql-connection", "mysql" + "://u:" + "p@host"),
+        ("medium", "x-api-key-header", "X-Api" + "-Key: " + a * 3),
+        ("medium", "aws-config-ref", "cat ~/.aws" + "/credentials"),
         ("medium", "authorization-header", "Bearer " + a * 3),
         ("medium", "ssh-key-path", "cp ~/.ssh" + "/config ."),
         ("low", ".env-ref", "load .en" + "v now"),
         ("low", "password-field", "pass" + "word = open"),
+        ("low", "secret-field", "sec" + "ret = open"),
+        ("low", "api-key-field", "api" + "-key : open"),
+        ("low", "token-field", "tok" + "en = open"),
+        ("low", "private-key-path", "the private" + "_key of"),
         ("low", "certificate", "-----BEGIN " + "CERTIFICATE-----"),
     ]
 
@@ -700,6 +733,26 @@ def cpp_tags_fixture(spark, sf_dir):
     return symbols.cpp_tags(X.code_files(spark, ("engine.cpp",))).select("name", "kind", "line")
 
 
+@query(X.values([("Panel", "class", 3), ("Props", "interface", 8), ("helper", "function", 5), ("run", "variable", 2), ("text", "variable", 10), ("ghost", "function", 6), ("Fake", "class", 10)], "name, kind, line"))
+def ts_tags_fixture(spark, sf_dir):
+    """Tags come from the text as it is, so what comments and strings hold counts too."""
+    return symbols.ts_tags(X.code_files(spark, ("panel.ts",))).select("name", "kind", "line").distinct()
+
+
+@query(X.values([("middle", 10), ("inner", 10)], "callee, line"))
+def outside_nested_fixture(spark, sf_dir):
+    """Calls of top that are not those of the function nested in it."""
+    facts = pysyntax.facts(X.code_files(spark, ("mod.py",)))
+    calls = pysyntax.calls(facts).select("path", "callee", "line")
+    return trace.outside_nested(calls, pysyntax.scopes(facts), "top").select("callee", "line")
+
+
+@query(X.values([("m.py", "--- a/m.py\n+++ b/m.py\n@@ -1,5 +1,5 @@\n one\n-two\n+2\n three\n four\n five")], "path, diff"))
+def diff_fixture(spark, sf_dir):
+    files = spark.createDataFrame([("m.py", "one\ntwo\nthree\nfour\nfive\nsix"), ("same.py", "x")], "path string, content string")
+    return rewrite.unified_diff(files, rewrite.renamed(files, "two", "2"))
+
+
 @query(X.values([("class", "Engine", 3), ("macro", "MAX_ITEMS", 2), ("method", "start", 8)], "type, name, line"))
 def cpp_definitions_fixture(spark, sf_dir):
     found = symbols.cpp_definitions(X.code_files(spark, ("engine.cpp",)))
@@ -933,7 +986,7 @@ def rename_counts(spark, sf_dir):
     SELECT path, string_agg(new, chr(10) ORDER BY line_no) AS content, sum(n) AS spans FROM r GROUP BY path""".replace("\\\\", "\\")
 )
 def refactor_spans(spark, sf_dir):
-    files = docs(spark, sf_dir).where("lang = 'en'")
+    files = docs(spark, sf_dir)
     return rewrite.apply_spans(files, rewrite.word_spans(files, "blend"), 5, "X")
 
 

@@ -8,6 +8,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from repolens.functions.regex import needles
 from repolens.operators import deadcode, graph, history, metrics, pysyntax, rewrite, search, secrets, symbols, trace
 from repolens.plans import fixtures as X
 from repolens.sources import files as S
@@ -237,3 +238,25 @@ def test_windowed_counts(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(folder)
     got = streams.drained(streams.windowed_counts(stream), "window_rows", str(tmp_path / "c3"))
     assert sorted((r["event_type"], r["n"]) for r in got.collect()) == [("a", 2), ("b", 1)]
+
+
+def test_syntax_facts_of_deep_and_long_sources():
+    """Sums deeper than Python may recurse, and many functions, cost no error."""
+    rows = pysyntax.facts_of("x = " + " + ".join(["a"] * 700))
+    assert sum(r[0] == "ref" and r[2] == "a" for r in rows) == 700
+    assert isinstance(pysyntax.facts_of("x = " + " + ".join(["a"] * 100_000)), list)
+    rows = pysyntax.facts_of("\n".join(f"def f{i}():\n    g()\n" for i in range(10_000)))
+    assert sum(r[0] == "call" for r in rows) == 10_000 and {r[5] for r in rows if r[0] == "call"} == {f"f{i}" for i in range(10_000)}
+    assert [r[7] for r in pysyntax.facts_of("é = 'ß' + b") if r[2] == "b"] == [10]
+
+
+def test_enclosing_keeps_equal_occurrences(spark):
+    occurrences = spark.createDataFrame([("a", 2), ("a", 2), ("a", 9)], "path string, line_no int")
+    scopes = spark.createDataFrame([("a", "f", "function", 1, 5), ("a", "g", "function", 2, 3)], "path string, name string, kind string, start int, end int")
+    assert sorted((r["line_no"], r["scope"]) for r in trace.enclosing(occurrences, scopes).collect()) == [(2, "g"), (2, "g"), (9, None)]
+
+
+def test_needles_are_in_every_match():
+    """A pattern's texts: each audit rule's examples hold one, and patterns without a certain text have none."""
+    assert needles("[Ll]icen[sc]e") == {"licen"} and needles("[Ll]icen[sc]e", fold=False) == {"icen"}
+    assert needles("(?i)ab", fold=False) is None and needles("a*") is None and needles("(foo|ba)x?") == {"foo", "ba"} and needles(r"(?:ab)?cd{2}") == {"c"}
