@@ -6,6 +6,7 @@ the cluster's shared folder; bounded trees are unions of joins.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +23,18 @@ TS_REQUIRE = r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 TS_EXPORT = r"""export\s+(?:type\s+)?(?:\{[^}]*\}|(?:\w+\s+)*\w+)\s+from\s+['"]([^'"]+)['"]"""
 CPP_INCLUDE = r'#include\s+["<]([^">]+)[">]'
 HUB_DEGREE = 5
+#: A graph of at most so many nodes, counted first, is closed in pairs, which takes few rounds; a larger one never is.
+SMALL_GRAPH = 1000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a session without one gets a temporary folder."""
+    """The folder of spark.checkpoint.dir, which all executors share; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -172,10 +178,61 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return now
 
 
+def _until_stable(frame: DataFrame, step, most: int | None = None) -> DataFrame:
+    """Repeat a step on a checkpointed frame until its rows stay the same (or ``most`` times)."""
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))).first())
+    now = checkpointed(frame)
+    seen, rounds = mark(now), 0
+    while seen[0] and rounds != most:
+        now = checkpointed(step(now))
+        before, seen = seen, mark(now)
+        rounds += 1
+        if seen == before:
+            break
+    return now
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing leads to, or that lead nowhere; a few rounds, as this only saves work."""
+
+    def step(now: DataFrame) -> DataFrame:
+        into, out = now.select(F.col("dst").alias("src")).distinct(), now.select(F.col("src").alias("dst")).distinct()
+        return now.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+
+    return _until_stable(edges, step, most=3)
+
+
+def strong_groups(edges: DataFrame) -> DataFrame:
+    """(node, scc) of every node on a cycle of two nodes or more; scc: the smallest node of its group. Eager.
+
+    Nodes that no cycle can hold go first. Each round labels every node with the smallest node that leads to it; what leads back to that node along nodes
+    of the same label is its group, and leaves the graph. Tables are of nodes and edges, never of pairs.
+    """
+    live = _trimmed(edges.where("src != dst").select("src", "dst").distinct())
+    if live.select("src").unionByName(live.select(F.col("dst").alias("src"))).distinct().count() <= SMALL_GRAPH:
+        reach = closure(live)
+        mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
+        return mutual.groupBy(F.col("a.src").alias("node")).agg(F.min("a.dst").alias("scc"))
+    found = live.select(F.col("src").alias("node"), F.col("dst").alias("scc")).limit(0)
+    while not live.isEmpty():
+        rest = live
+        nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
+        spread = lambda now, rest=rest: now.unionByName(rest.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
+        label = _until_stable(nodes.select("node", F.col("node").alias("label")), spread)
+        of = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"__{end}"))
+        alike = checkpointed(rest.join(of("src"), "src").join(of("dst"), "dst").where("__src = __dst").select("src", "dst", F.col("__src").alias("label")))
+        back = lambda now, alike=alike: now.unionByName(alike.join(now, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), alike["label"])).distinct()
+        group = _until_stable(label.where("node = label"), back)
+        several = group.groupBy("label").count().where("count > 1").select("label")
+        found = found.unionByName(group.join(several, "label").select("node", F.col("label").alias("scc")))
+        gone = lambda end: group.select(F.col("node").alias(end))
+        live = _trimmed(rest.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst"))
+    return found
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(node) of every node on a cycle of two nodes or more."""
-    pairs = closure(edges.where("src != dst"))
-    return pairs.where("src = dst").select(F.col("src").alias("node"))
+    return strong_groups(edges).select("node")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -184,9 +241,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     The walk is inherently sequential: roots and neighbours in order, visited nodes shared. Only nodes of
     cycles take part, group by strongly connected group, so a task holds one group of files that import each other.
     """
-    reach = closure(edges.where("src != dst"))
-    mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    group = mutual.groupBy("node").agg(F.min("other").alias("scc"))
+    group = strong_groups(edges)
     inside = (
         edges.where("src != dst")
         .select("src", "dst")

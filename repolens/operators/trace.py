@@ -20,6 +20,11 @@ CPP_NOT_CALLED = (
 )
 
 
+# A C++ function with a body, and a call.
+CPP_FUNCTION = r"(?:\w[\w:<>*&]*\s+)?(\w+)\s*\([^;{]*\)\s*(?:const|override)?\s*\{"
+CPP_CALL = r"(\w+)\s*\("
+
+
 def brace_rows(source: str | None) -> list[tuple]:
     """(row, name, line, end_line): functions with bodies, by matching braces, and the calls inside them."""
     import re
@@ -31,7 +36,7 @@ def brace_rows(source: str | None) -> list[tuple]:
 
     line_of = lambda at: bisect_left(starts, at) + 1
     bodies = []
-    for m in re.finditer(r"(?:\w[\w:<>*&]*\s+)?(\w+)\s*\([^;{]*\)\s*(?:const|override)?\s*\{", text):
+    for m in re.finditer(CPP_FUNCTION, text):
         if m[1] in CPP_NOT_CALLED:
             continue
         depth, at = 1, m.end()
@@ -41,7 +46,7 @@ def brace_rows(source: str | None) -> list[tuple]:
         rows.append(("scope", m[1], line_of(m.end() - 1), line_of(at - 1)))
         bodies.append((m.end(), at, m[1]))
     for low, high, name in bodies:
-        for m in re.finditer(r"(\w+)\s*\(", text[low:high]):
+        for m in re.finditer(CPP_CALL, text[low:high]):
             at = low + m.start()
             inner = any(low < a <= at < b <= high for a, b, _ in bodies if (a, b) != (low, high))
             if m[1] not in CPP_NOT_CALLED and not m[1][0].isdigit() and not inner:

@@ -260,3 +260,16 @@ def test_needles_are_in_every_match():
     """A pattern's texts: each audit rule's examples hold one, and patterns without a certain text have none."""
     assert needles("[Ll]icen[sc]e") == {"licen"} and needles("[Ll]icen[sc]e", fold=False) == {"icen"}
     assert needles("(?i)ab", fold=False) is None and needles("a*") is None and needles("(foo|ba)x?") == {"foo", "ba"} and needles(r"(?:ab)?cd{2}") == {"c"}
+
+
+def test_strong_groups_of_small_and_large_graphs(spark, monkeypatch):
+    r = random.Random(3)
+    edges = {(r.randrange(30), r.randrange(30)) for _ in range(36)} | {(100, 101), (101, 100), (101, 102), (102, 103), (103, 102), (7, 7)}
+    reach = {x: {b for a, b in edges if a == x and b != x} for x, _ in edges}
+    for _ in range(40):
+        reach = {x: to.union(*(reach.get(y, set()) for y in to)) for x, to in reach.items()}
+    want = {x: min(y for y in to if x in reach.get(y, set())) for x, to in reach.items() if x in to}
+    frame = spark.createDataFrame(sorted(edges), "src bigint, dst bigint")
+    for small in (1000, 0):
+        monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+        assert {r["node"]: r["scc"] for r in graph.strong_groups(frame).collect()} == want
