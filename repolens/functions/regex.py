@@ -117,7 +117,8 @@ def needles(pattern: str, fold: bool = True) -> frozenset[str] | None:
 
 def folded(text: Column) -> Column:
     """Lower case, in which the letters that match ASCII ones without regard to case are these."""
-    return F.translate(F.lower(text), "\u017f\u0131\u0307", "si")
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, "\u017f\u0131\u0307", "si"))
 
 
 def may_match(low: Column, pattern: str) -> Column:
