@@ -484,7 +484,7 @@ def test_quality_equals_plain_python(docs):
 
 
 def test_license_scan(spark):
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    mit = next(t for n, t in licenses.NOTICES if n == "MIT" and t.startswith("Permission"))
     rows = [
         (1, prose(30, 200) + "\nLicensed under CC BY-NC 4.0.\n" + prose(31, 100)),
         (2, "Copyright\n\n" + mit.replace(" ", "\n", 20).upper()),
@@ -499,6 +499,28 @@ def test_license_scan(spark):
     assert out[1]["dice"] == 1 and 0.8 <= out[6]["dice"] and out[3]["license_id"] is None
 
 
+def test_whole_licences_are_told_apart(spark):
+    """Every whole text is found as itself, with a copyright line and prose around it; shared openings name both."""
+    whole = licenses.whole_texts()
+    opening = next(t for n, t in licenses.NOTICES if " OR " in n)
+    rows = [(i, f"{prose(50 + i, 40)}\nCopyright (c) 2020 Somebody\n{text}\n{prose(80 + i, 40)}") for i, (_, text) in enumerate(whole)] + [(100, opening)]
+    out = {r["doc_id"]: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (name, _) in enumerate(whole):
+        assert out[i]["license_id"] == name and out[i]["dice"] >= 0.95, (name, out[i])
+    assert out[100]["license_id"] == "BSD-2-Clause OR BSD-3-Clause"
+
+
+def test_license_ties_and_repeats(spark):
+    """Equal passages: a licence once; equal templates: the first name; a paragraph 10,000 times: found, in bounded time."""
+    mit = next(t for n, t in licenses.NOTICES if n == "MIT" and t.startswith("Permission"))
+    typo = mit.replace("free of charge", "without charge")
+    rows = [(1, "Licensed under CC BY 4.0. Licensed under CC BY 4.0."), (2, (typo + "\n") * 10_000), (1, "Licensed under CC BY 4.0. Licensed under CC BY 4.0.")]
+    out = licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["licenses"]) for r in out) == [(1, "CC-BY-4.0"), (1, "CC-BY-4.0"), (2, "MIT")]
+    twice = spark.createDataFrame([(1, "one two three four five")], "doc_id bigint, text string")
+    assert licenses.scan(twice, (("B", "one two three four five"), ("A", "one two three four five"))).first()["licenses"] == ["A"]
+
+
 def test_best_passage_equals_all_passages():
     r = random.Random(11)
     template = licenses.Template("t", np.unique(B.keyed(12, 1)))
