@@ -203,32 +203,28 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     to the end. Text for an empty file's beginning or end takes the place of its only line. A file whose content
     is null is left out.
     """
-    files = files.where(F.col("content").isNotNull())
-    n_lines = files.select("path", F.size(F.split("content", "\n", -1)).alias("n_lines"))
-    placed = edits.join(n_lines, "path")
+    # one row a file, keyed by twice the line that texts stand before, plus one if they were put after the line above
     after = F.col("cursor") == "after"
-    cursor = F.when(after & (F.col("anchor_line") >= F.col("n_lines")), "eof").otherwise(F.col("cursor"))
-    line_no = F.when(after, F.col("anchor_line") + 1).otherwise(F.col("anchor_line"))
-    placed = placed.select("path", "kind", cursor.alias("cursor"), line_no.alias("line_no"), "text", "idx")
-    texts = lambda rows: F.transform(F.sort_array(rows), lambda r: r["text"])
+    edge = F.when(F.col("cursor") == "bof", -2).when(F.col("cursor") == "eof", -1)
+    slot = F.coalesce(edge, 2 * F.col("anchor_line") + F.when(after, 3).otherwise(0))
     inserted = F.when(F.col("kind") == "insert", F.struct("idx", "text"))
-    by_line = placed.where(~F.col("cursor").isin("bof", "eof")).groupBy("path", "line_no").agg(texts(F.collect_list(inserted)).alias("before"), F.max((F.col("kind") == "delete").cast("int")).alias("gone"))
-    at_end = lambda c: texts(F.collect_list(F.when(F.col("cursor") == c, F.struct("idx", "text"))))
-    ends = placed.where(F.col("cursor").isin("bof", "eof")).groupBy("path").agg(at_end("bof").alias("bof"), at_end("eof").alias("eof"))
-    none = F.array().cast("array<string>")
-    by_file = by_line.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct("before", "gone").alias("e")))).alias("at"))
-    touched = files.select("path", "content").join(edits.select("path").distinct(), "path", "left_semi").join(by_file, "path", "left")
+    at_slot = edits.repartition("path").select("path", slot.alias("slot"), inserted.alias("put"), (F.col("kind") == "delete").alias("del")).groupBy("path", "slot").agg(F.collect_list("put").alias("put"), F.bool_or("del").alias("gone"))
+    by_file = at_slot.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("put", "gone").alias("e")))).alias("at"))
+    laid = files.where(F.col("content").isNotNull()).select("path", F.split("content", "\n", -1).alias("lines")).join(by_file, "path")
+    put = lambda key: F.coalesce(F.try_element_at("at", key)["put"], F.array().cast(at_slot.schema["put"].dataType))
+    texts = lambda rows: F.transform(F.sort_array(rows), lambda r: r["text"])
 
     def laid_out(x, i):
-        e = F.try_element_at("at", i + 1)
-        return F.concat(F.coalesce(e["before"], none), F.when(F.coalesce(e["gone"], F.lit(0)) == 1, none).otherwise(F.array(x)))
-
-    laid = touched.select("path", F.flatten(F.transform(F.split("content", "\n", -1), laid_out)).alias("body"))
-    joined = laid.join(ends, "path", "left").select("path", "body", F.coalesce("bof", none).alias("bof"), F.coalesce("eof", none).alias("eof"))
-    first = F.when((F.size("bof") > 0) & (F.size("body") == 1) & (F.get("body", F.lit(0)) == ""), F.col("bof")).otherwise(F.concat("bof", "body"))
-    joined = joined.select("path", "eof", first.alias("body"))
-    last = F.when((F.size("eof") > 0) & (F.size("body") == 1) & (F.get("body", F.lit(0)) == ""), F.col("eof")).otherwise(F.concat("body", "eof"))
-    return joined.select("path", F.array_join(last, "\n").alias("content"))
+        at = 2 * (i + 1)
+        return F.concat(texts(F.concat(put(at), put(at + 1))), F.when(F.coalesce(F.try_element_at("at", at)["gone"], F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(x)))
+
+    past = F.map_filter("at", lambda k, e: (k % 2 == 1) & (k > 2 * F.size("lines") + 1))
+    tail = F.concat(put(F.lit(-1)), F.flatten(F.transform(F.map_values(past), lambda e: e["put"])))
+    laid = laid.select("path", F.flatten(F.transform("lines", laid_out)).alias("body"), texts(put(F.lit(-2))).alias("bof"), texts(tail).alias("eof"))
+    alone = lambda own, body: (F.size(own) > 0) & (F.size(body) == 1) & (F.get(body, F.lit(0)) == "")
+    laid = laid.select("path", "eof", F.when(alone("bof", "body"), F.col("bof")).otherwise(F.concat("bof", "body")).alias("body"))
+    last = F.when(alone("eof", "body"), F.col("eof")).otherwise(F.concat("body", "eof"))
+    return laid.select("path", F.array_join(last, "\n").alias("content"))
 
 
 def apply_sections(files: DataFrame, path: str, text: str) -> DataFrame:
