@@ -20,6 +20,22 @@ def by_extension(files: DataFrame) -> DataFrame:
     return files.groupBy("ext").agg(F.count("*").alias("files"), F.sum(newline_count("content")).alias("newlines")).orderBy(F.desc("files"), "ext")
 
 
+def snapshot(scanned: DataFrame, workspace: DataFrame) -> DataFrame:
+    """One row: the workspace's columns, total_files, total_lines and by_ext, an array of (ext, files), commonest first.
+
+    scanned: (path, ext, lines) of all files. Extensions are pre-aggregated; only their counts meet in a row.
+    """
+    by_ext = scanned.groupBy("ext").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"))
+    total = by_ext.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("total_files"),
+        F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"),
+        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("files")).alias("n"), "ext"))), lambda e: F.struct(e["ext"].alias("ext"), (-e["n"]).alias("files"))).alias("by_ext"),
+    )
+    # a scalar subquery: the workspace is one row
+    own = workspace.select(F.struct(*workspace.columns)).scalar()
+    return total.withColumn("__w", own).select("__w.*", *total.columns)
+
+
 def split_line_count(content: str = "content") -> Column:
     """Lines between newlines: one more than by_language() counts if the text ends with one."""
     return F.size(F.split(content, "\n", -1))

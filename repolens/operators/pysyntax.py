@@ -17,6 +17,10 @@ from ..functions.workers import importable
 FACTS = "fact string, kind string, name string, line int, end_line int, scope string, depth int, col int"
 
 
+#: Kinds of the targets of an assignment after its first one; late: the first that is a name.
+MORE_TARGETS = ("variable_late", "variable_more")
+
+
 def facts_of(source: str | None) -> list[tuple]:
     """Rows (fact, kind, name, line, end_line, scope, depth, col) of a source; none if it does not parse.
 
@@ -59,9 +63,10 @@ def facts_of(source: str | None) -> list[tuple]:
             inner = node.name if not is_class or not in_function else scope
             within = in_function or not is_class
         elif isinstance(node, ast.Assign):
-            for i, target in enumerate(node.targets):
-                if isinstance(target, ast.Name):
-                    rows.append(("def", "variable" if i == 0 else "variable_more", target.id, node.lineno, node.end_lineno, scope, depth, column(target)))
+            named = [i for i, target in enumerate(node.targets) if isinstance(target, ast.Name)]
+            for i in named:
+                target = node.targets[i]
+                rows.append(("def", "variable" if i == 0 else "variable_late" if i == named[0] else "variable_more", target.id, node.lineno, node.end_lineno, scope, depth, column(target)))
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             for alias in node.names:
                 rows.append(("import", "import", alias.asname or alias.name.split(".")[0], node.lineno, node.end_lineno, scope, depth, column(alias)))
@@ -101,13 +106,19 @@ def facts(files: DataFrame) -> DataFrame:
 
 def tags(found: DataFrame) -> DataFrame:
     """(path, name, kind, line): functions, classes, every assigned name, imports."""
-    kind = F.when(F.col("kind") == "async_function", "function").when(F.col("kind") == "variable_more", "variable").otherwise(F.col("kind"))
+    kind = F.when(F.col("kind") == "async_function", "function").when(F.col("kind").startswith("variable"), "variable").otherwise(F.col("kind"))
     return found.where(F.col("fact").isin("def", "import")).select("path", "name", kind.alias("kind"), "line")
 
 
+def all_definitions(found: DataFrame) -> DataFrame:
+    """(path, type, name, line): functions, classes, the first name that each assignment binds, and imported names."""
+    kept = found.where((F.col("fact") == "import") | ((F.col("fact") == "def") & (F.col("kind") != "variable_more")))
+    return tags(kept).select("path", F.col("kind").alias("type"), "name", "line")
+
+
 def definitions(found: DataFrame, symbol: str) -> DataFrame:
     """(path, type, name, line); of several targets of an assignment only the first counts."""
-    return found.where((F.col("fact") == "def") & (F.col("kind") != "variable_more") & (F.col("name") == symbol)).select("path", F.col("kind").alias("type"), "name", "line")
+    return found.where((F.col("fact") == "def") & ~F.col("kind").isin(*MORE_TARGETS) & (F.col("name") == symbol)).select("path", F.col("kind").alias("type"), "name", "line")
 
 
 def references(found: DataFrame, symbol: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import path_tree
 from .history import ORDER
 from .lint import level, shown
 
@@ -66,3 +67,45 @@ def impact_text(found: DataFrame) -> DataFrame:
     tails = rows.where("more > 0").groupBy("__o").agg(F.max("more").alias("more"))
     tails = tails.select("__o", F.lit(2).alias("__k"), F.lit("").alias("path"), F.lit(0).alias("line"), F.concat(F.lit("  … "), F.col("more").cast("string"), F.lit(" more")).alias("l"))
     return _laid(lines.unionByName(heads).unionByName(tails), F.col("l"), "__o", "__k", "path", "line")
+
+
+def refactor_text(spans: DataFrame, most: int = 1000) -> DataFrame:
+    """path:line:col  kind of the places that a rename touches, by path and place."""
+    rows = spans.orderBy("path", "line", "col").limit(most)
+    return _laid(rows, F.concat(F.lit("  "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("col").cast("string"), F.lit("  "), "kind"), "path", "line", "col")
+
+
+def formatters_text(runs: DataFrame) -> DataFrame:
+    """A line for each formatter run (seq, tool, status, exit_code, check), and whether all passed."""
+    detail = F.when(F.col("status") == "ok", F.when(F.col("check"), "(check)").otherwise("")).otherwise(F.concat(F.when(F.col("check"), "check").otherwise("format"), F.lit(" exited "), F.col("exit_code").cast("string")))
+    row = F.concat(F.when(F.col("status") == "ok", "  ✅ ").otherwise("  ❌ "), F.rpad("tool", 12, " "), F.lit(" "), detail)
+    head = F.concat(F.lit("fmt:\n"), F.when(F.col("report") != "", F.concat("report", F.lit("\n"))).otherwise(""), F.lit("\n"))
+    verdict = F.when(F.col("ok"), "  ✅ All formatters passed").otherwise("  ❌ Some formatters failed")
+    laid = _laid(runs, row, "seq").withColumn("ok", runs.agg(F.coalesce(F.bool_and(F.col("status") == "ok"), F.lit(True))).scalar())
+    return laid.select(F.concat(head, verdict).alias("report"))
+
+
+def tree_text(files: DataFrame, name: str, depth: int = 2) -> DataFrame:
+    """The folders of a file set down to a depth and the files in them, in order, each level two spaces further in."""
+    rows = path_tree(files, depth + 1).where(~F.col("is_dir") | (F.col("depth") <= depth))
+    parts = F.split("entry", "/")
+    line = F.concat(F.expr("repeat('  ', depth)"), F.element_at(parts, -1), F.when(F.col("is_dir"), "/").otherwise(""))
+    laid = _laid(rows.withColumn("__o", parts), line, "__o")
+    return laid.select(F.concat(F.lit(f"{name}/"), F.when(F.col("report") != "", F.concat(F.lit("\n"), "report")).otherwise("")).alias("report"))
+
+
+def snapshot_text(snapshot: DataFrame, tree: DataFrame, name: str, date: str, version: str) -> DataFrame:
+    """A workspace snapshot (metrics.snapshot) and its tree (tree_text) as Markdown."""
+    item = lambda label, value: F.concat(F.lit(f"- **{label}:** "), value.cast("string"))
+    quoted = lambda rows: F.transform(rows, lambda x: F.concat(F.lit("  - `"), F.substring(x, 1, 80), F.lit("`")))
+    listed = lambda label, rows: F.when(F.size(rows) > 0, F.concat(F.array(F.lit(label)), quoted(rows))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(
+        F.array(F.lit(f"# Snapshot: {name}"), F.lit(f"**Date:** {date}"), F.lit(f"**Tool:** snapshot v{version}"), F.lit(""), F.lit("## Git")),
+        F.array(item("Branch", F.col("branch")), item("Commit", F.col("commit")), item("Message", F.col("subject")), item("Dirty files", F.col("n_changed"))),
+        listed("- Changes:", F.slice("changed", 1, 20)),
+        listed("- Recent commits:", F.col("recent")),
+        F.array(F.lit(""), F.lit("## Files"), item("Total files", F.col("total_files")), item("Total lines", F.col("total_lines")), F.lit("- By extension:")),
+        F.transform("by_ext", lambda e: F.concat(F.lit("  - `"), e["ext"], F.lit("`: "), e["files"].cast("string"))),
+        F.array(F.lit(""), F.lit("## Directory Tree"), F.col("tree"), F.lit("")),
+    )
+    return snapshot.withColumn("tree", tree.select("report").scalar()).select(F.array_join(lines, "\n").alias("report"))

@@ -159,13 +159,23 @@ def impact(definitions: DataFrame, references: DataFrame) -> DataFrame:
 
 def definitions_in(files: DataFrame, symbol: str | None = None) -> DataFrame:
     """(path, type, name, line): definitions of all languages, of one symbol or of all, each once."""
-    py = pysyntax.facts(files).where((F.col("fact") == "def") & (F.col("kind") != "variable_more")).select("path", F.col("kind").alias("type"), "name", "line")
+    py = pysyntax.facts(files).where((F.col("fact") == "def") & ~F.col("kind").isin(*pysyntax.MORE_TARGETS)).select("path", F.col("kind").alias("type"), "name", "line")
     other = symbols.cpp_definitions(files).unionByName(symbols.ts_definitions(files)).select("path", "type", "name", "line")
     found = py.unionByName(other)
     found = found if symbol is None else found.where(F.col("name") == symbol)
     return first_by(found, ["path", "name", "line"], [F.col("type")])
 
 
+def all_definitions_in(files: DataFrame) -> DataFrame:
+    """(path, type, name, line): what files define, imports of Python files included.
+
+    In C++ and TypeScript a name counts once a line, under its first rule; in Python every row stays.
+    """
+    other = symbols.cpp_definitions(files).unionByName(symbols.ts_definitions(files))
+    other = first_by(other, ["path", "name", "line"], [F.col("rule")]).select("path", "type", "name", "line")
+    return pysyntax.all_definitions(pysyntax.facts(files)).unionByName(other)
+
+
 def references_in(files: DataFrame, symbol: str) -> DataFrame:
     """(path, type, line): from the syntax tree in Python files, whole words elsewhere."""
     py = pysyntax.references(pysyntax.facts(files), symbol)

@@ -197,14 +197,14 @@ def grouping_sets_stats(spark, sf_dir):
 
 
 _TAG_LIST = "['TODO', 'FIXME', 'HACK', 'XXX', 'BUG', 'OPTIMIZE', 'NOTE', 'REVIEW', 'WORKAROUND']"
-_MARKED = f"""m AS (SELECT conv_id, turn, {_TAG_LIST}[CAST((turn + conv_id) % 9 AS INT) + 1] AS tag, role, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS message FROM conversations)"""
+_MARKED = f"""m AS (SELECT conv_id, turn, {_TAG_LIST}[CAST((turn + conv_id) % 9 AS INT) + 1] AS tag, role, text AS message FROM conversations)"""
 
 
 def _marked(spark, sf_dir):
     """Conversations as files whose lines are comments with markers."""
     c = read(spark, sf_dir, "conversations")
     tag = F.element_at(F.array(*(F.lit(t) for t in markers.TAGS)), ((F.col("turn") + F.col("conv_id")) % 9).cast("int") + 1)
-    line = F.concat(F.lit("# "), F.lower(tag), F.lit("("), "role", F.lit("): "), F.split("text", " ")[0], F.lit(" "), F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")))
+    line = F.concat(F.lit("# "), F.lower(tag), F.lit("("), "role", F.lit("): "), "text")
     rows = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.replace(line, F.lit("\n"), F.lit("\n# ")).alias("line")))), lambda r: r["line"])
     return c.groupBy("conv_id").agg(F.array_join(rows, "\n").alias("content")).select(F.col("conv_id").cast("string").alias("path"), "content")
 
@@ -739,6 +739,60 @@ def ts_tags_fixture(spark, sf_dir):
     return symbols.ts_tags(X.code_files(spark, ("panel.ts",))).select("name", "kind", "line").distinct()
 
 
+_SCANNED = ("a.py", "env/a.py", "target/a.rs", "venv/b.ts", "src/c.hpp", "src/d.jsx", "src/e.go", ".idea/f.py", ".ruff_cache/g.py", "docs/h.md", "src/I.PY")
+
+
+@query(
+    X.values(
+        [(s, p) for s, ps in (("impact", ("a.py", "target/a.rs", "src/c.hpp", "src/d.jsx", "src/e.go", "src/I.PY")), ("impact js", ("src/d.jsx",)), ("dead", ("a.py", "env/a.py", "src/d.jsx", "src/I.PY")), ("health", ("a.py", "src/c.hpp", "src/d.jsx", "src/I.PY"))) for p in ps],
+        "scan, path",
+    )
+)
+def scan_variants_fixture(spark, sf_dir):
+    """Which paths each scan keeps: own extensions and own folders left out; hidden folders in none."""
+    paths = spark.createDataFrame([(p,) for p in _SCANNED], "path string")
+    kept = [paths.where(S.in_scan("path", *args)).select(F.lit(" ".join(args)).alias("scan"), "path") for args in (("impact",), ("impact", "js"), ("dead",), ("health",))]
+    return metrics.union(kept)
+
+
+@query(
+    X.values(
+        [("m.py", "import", "np", 1), ("m.py", "import", "os", 2), ("m.py", "class", "A", 3), ("m.py", "function", "go", 4), ("m.py", "variable", "x", 5), ("m.py", "variable", "late", 6), ("e.cpp", "macro", "MAX", 1), ("e.cpp", "class", "Engine", 2)],
+        "path, type, name, line",
+    )
+)
+def all_definitions_fixture(spark, sf_dir):
+    """Imports by the name they bind, async functions as functions, one name of each assignment."""
+    rows = [("m.py", "py", "import numpy as np\nimport os.path\nclass A:\n    async def go(self): pass\nx = y = 1\nA.z = late = later = 2\n"), ("e.cpp", "cpp", "#define MAX 3\nclass Engine {\n};\n")]
+    return trace.all_definitions_in(spark.createDataFrame(rows, "path string, lang string, content string"))
+
+
+@query(X.values([("  m.py:1:4  definition\n  m.py:4:6  reference",)], "report"))
+def refactor_listing(spark, sf_dir):
+    rows = [("m.py", "def greet(x):\n    return x\n\nprint(greet(1), 'greet')\n")]
+    files = spark.createDataFrame(rows, "path string, content string").withColumn("lang", F.lit("py"))
+    return render.refactor_text(pysyntax.rename_spans(pysyntax.facts(files), "greet"))
+
+
+@query(X.values([("fmt:\n  ✅ ruff         (check)\n  ❌ prettier     check exited 2\n\n  ❌ Some formatters failed",)], "report"))
+def formatters_text(spark, sf_dir):
+    runs = spark.createDataFrame([(1, "ruff", "ok", 0, True), (2, "prettier", "fail", 2, True)], "seq int, tool string, status string, exit_code int, check boolean")
+    return render.formatters_text(runs)
+
+
+@query(
+    X.values(
+        [("# Snapshot: demo\n**Date:** 2024-01-02 03:04:05\n**Tool:** snapshot v1\n\n## Git\n- **Branch:** main\n- **Commit:** abc1234\n- **Message:** first\n- **Dirty files:** 1\n- Changes:\n  - ` M a.py`\n- Recent commits:\n  - `abc1234 first`\n\n## Files\n- **Total files:** 4\n- **Total lines:** 8\n- By extension:\n  - `.py`: 3\n  - `.md`: 1\n\n## Directory Tree\ndemo/\n  a.py\n  src/\n    deep/\n      c.py\n    z.py\n  top.md\n",)],
+        "report",
+    )
+)
+def snapshot_fixture(spark, sf_dir):
+    """Workspace, counts and tree as one report; the tree goes two folders down."""
+    scanned = spark.createDataFrame([("a.py", ".py", 1), ("src/z.py", ".py", 2), ("src/deep/c.py", ".py", 0), ("top.md", ".md", 5)], "path string, ext string, lines int")
+    own = spark.createDataFrame([("main", "abc1234", "first", 1, [" M a.py"], ["abc1234 first"])], "branch string, commit string, subject string, n_changed int, changed array<string>, recent array<string>")
+    return render.snapshot_text(metrics.snapshot(scanned, own), render.tree_text(scanned, "demo"), "demo", "2024-01-02 03:04:05", "1")
+
+
 @query(X.values([("middle", 10), ("inner", 10)], "callee, line"))
 def outside_nested_fixture(spark, sf_dir):
     """Calls of top that are not those of the function nested in it."""

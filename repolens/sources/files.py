@@ -16,6 +16,8 @@ EXCLUDED = (
     ".git", "__pycache__", "node_modules", ".venv", "venv", ".env", "build", "dist", ".mypy_cache", ".pytest_cache",
     ".ruff_cache", ".eggs", ".idea", ".vscode", "target", ".next", ".nuxt",
 )
+IMPACT_EXCLUDED = ("__pycache__", "node_modules", "build", "dist", ".git", ".eggs", "env", "venv")
+HEALTH_EXCLUDED = (".git", "__pycache__", "node_modules", "build", "dist", ".eggs", "env", "venv", ".ruff_cache", ".mypy_cache")
 SOURCE_EXTS = (
     ".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".cpp", ".c", ".h", ".hpp", ".cc", ".cxx", ".hxx", ".hh",
     ".rs", ".go", ".java", ".kt", ".swift",
@@ -34,6 +36,15 @@ BINARY_EXTS = (
     ".tar", ".7z", ".rar", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".mp3", ".mp4", ".avi", ".mov", ".mkv", ".pyc", ".pyo",
     ".pyd", ".o", ".obj", ".lib", ".dll", ".so", ".dylib", ".exe", ".msi", ".deb", ".rpm", ".lock", ".sum", ".sig",
 )
+HEALTH_EXTS = LANGUAGE_EXTS["py"] + LANGUAGE_EXTS["cpp"] + LANGUAGE_EXTS["ts"]
+#: Scans of whole folders that read sources: extensions, and the folders that each leaves out beside hidden ones.
+SCANS = {
+    "impact": (SOURCE_EXTS, IMPACT_EXCLUDED),
+    "dead": (LANGUAGE_EXTS["py"] + LANGUAGE_EXTS["ts"], EXCLUDED),
+    "health": (HEALTH_EXTS, HEALTH_EXCLUDED),
+}
+#: Languages of the impact scan; js there means all of ts, and an unknown language has no files.
+IMPACT_LANGUAGES = {"all": SOURCE_EXTS, "py": LANGUAGE_EXTS["py"], "cpp": LANGUAGE_EXTS["cpp"], "ts": LANGUAGE_EXTS["ts"], "js": LANGUAGE_EXTS["ts"]}
 AUDIT_BYTES = 1_000_000
 SEARCH_BYTES = 50 * 1024 * 1024
 
@@ -82,6 +93,19 @@ def scan_sources(spark: SparkSession, root: str, lang: str = "all", most_files:
     return as_files(chosen)
 
 
+def in_scan(path: Column | str, scan: str, lang: str = "all") -> Column:
+    """Whether a relative path belongs to one of SCANS; only the impact scan knows languages."""
+    exts, excluded = SCANS[scan]
+    if scan == "impact":
+        exts = IMPACT_LANGUAGES.get(lang, ())
+    return extension(path).isin(*exts) & ~pruned(path, excluded)
+
+
+def scan(spark: SparkSession, root: str, which: str, lang: str = "all") -> DataFrame:
+    """The files of one of SCANS."""
+    return as_files(read_files(spark, root).where(in_scan("path", which, lang)))
+
+
 def scan_audit(spark: SparkSession, root: str) -> DataFrame:
     """All files of at most 1,000,000 bytes whose extension is not binary."""
     raw = read_files(spark, root, most_bytes=AUDIT_BYTES)
@@ -96,9 +120,11 @@ def scan_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_all(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ext, size, newlines) of every file, binary ones too; newlines are counted in bytes."""
+    """(path, ext, size, newlines, lines) of every file, binary ones too, counted in bytes; lines include an unfinished last one."""
     raw = read_files(spark, root).where(~pruned("path"))
-    return raw.select("path", extension("path").alias("ext"), "size", F.expr("octet_length(raw) - octet_length(replace(cast(raw AS string), '\n', ''))").alias("newlines"))
+    unfinished = F.expr("size > 0 AND substring(raw, -1, 1) != X'0A'").cast("int")
+    counted = raw.withColumn("newlines", F.expr("octet_length(raw) - octet_length(replace(cast(raw AS string), '\n', ''))"))
+    return counted.select("path", extension("path").alias("ext"), "size", "newlines", (F.col("newlines") + unfinished).alias("lines"))
 
 
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:

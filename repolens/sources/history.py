@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import json
 import subprocess
+import sys
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +47,12 @@ def commit_files(spark: SparkSession, root: str, since: str | None = None) -> Da
 
 
 def workspace(spark: SparkSession, root: str) -> DataFrame:
-    """One row: branch, commit, subject, changed files and the last ten commits."""
+    """One row: branch, commit, subject, number of changed files, the first twenty of them and the last ten commits."""
     git = lambda *a: run(["git", *a], root).strip()
-    changed = [x for x in git("status", "--porcelain").split("\n") if x][:20]
-    row = (git("rev-parse", "--abbrev-ref", "HEAD"), git("rev-parse", "--short", "HEAD"), git("log", "-1", "--pretty=%s"), changed, git("log", "--oneline", "-10").split("\n"))
-    return spark.createDataFrame([row], "branch string, commit string, subject string, changed array<string>, recent array<string>")
+    changed = [x for x in run(["git", "status", "--porcelain"], root).split("\n") if x.strip()]
+    recent = [x for x in git("log", "--oneline", "-10").split("\n") if x]
+    row = (git("rev-parse", "--abbrev-ref", "HEAD") or "(not a git repo)", git("rev-parse", "--short", "HEAD"), git("log", "-1", "--pretty=%s"), len(changed), changed[:20], recent)
+    return spark.createDataFrame([row], "branch string, commit string, subject string, n_changed int, changed array<string>, recent array<string>")
 
 
 def diff(root: str, path: str, staged: bool = False) -> str | None:
@@ -84,6 +87,14 @@ def detect_command(root: str) -> list[str] | None:
     return package_command(path.read_text(encoding="utf-8")) if path.exists() else None
 
 
+def formatter_output(spark: SparkSession, root: str, check: bool = False, ruff: bool = True, prettier: bool = False) -> DataFrame:
+    """tool_output() of the formatters asked for, with a column check: whether they only looked."""
+    ruff_args = [sys.executable, "-m", "ruff", "format", *(["--check"] if check else []), "."]
+    prettier_args = ["npx", "prettier", "--check" if check else "--write", "--ignore-path", ".gitignore", "."]
+    runs = [tool_output(spark, root, [(n, a)], seconds) for n, a, seconds, on in (("ruff", ruff_args, 60, ruff), ("prettier", prettier_args, 120, prettier)) if on]
+    return reduce(DataFrame.unionByName, runs).withColumn("check", F.lit(check))
+
+
 def tool_output(spark: SparkSession, root: str, tools: list[tuple[str, list[str]]], timeout: int = 300) -> DataFrame:
     """(tool, status, exit_code, elapsed, output): each command run once on the driver."""
     import time

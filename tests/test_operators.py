@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolens.functions.regex import needles
-from repolens.operators import deadcode, graph, history, metrics, pysyntax, rewrite, search, secrets, symbols, trace
+from repolens.operators import deadcode, graph, history, metrics, pysyntax, render, rewrite, search, secrets, symbols, trace
 from repolens.plans import fixtures as X
 from repolens.sources import files as S
 from repolens.sources import history as H
@@ -48,10 +48,23 @@ def test_scans(spark, tree):
     assert paths(S.scan_sources(spark, tree, most_files=1)) == ["main.py"]
     assert paths(S.scan_audit(spark, tree)) == ["data.json", "main.py", "sub/mod.ts", "sub/other.ts", "utils.py"]
     assert "pic.png" in paths(S.scan_search(spark, tree)) and not [p for p in paths(S.scan_search(spark, tree)) if ".git" in p or "node_modules" in p]
-    assert {r["path"]: r["newlines"] for r in S.scan_all(spark, tree).collect()}["main.py"] == 4
+    counts = {r["path"]: (r["newlines"], r["lines"]) for r in S.scan_all(spark, tree).collect()}
+    assert counts["main.py"] == (4, 4) and counts["pic.png"] == (0, 1)
+    assert paths(S.scan(spark, tree, "dead")) == paths(S.scan(spark, tree, "health")) == paths(S.scan(spark, tree, "impact")) == ["main.py", "sub/mod.ts", "sub/other.ts", "utils.py"]
+    assert paths(S.scan(spark, tree, "impact", "js")) == ["sub/mod.ts", "sub/other.ts"] and paths(S.scan(spark, tree, "impact", "cobol")) == []
     assert S.scan_sources(spark, tree).where("path = 'utils.py'").first()["content"] == "def go():\n    return 1\n"
 
 
+def test_snapshot_of_a_folder(spark, tree):
+    report = render.snapshot_text(metrics.snapshot(S.scan_all(spark, tree), H.workspace(spark, tree)), render.tree_text(S.scan_all(spark, tree), "tree"), "tree", "today", "1").first()["report"]
+    assert "- **Total files:** 6" in report and "  - `.ts`: 2" in report and "tree/\n  data.json\n  main.py\n  pic.png\n  sub/\n    mod.ts\n    other.ts\n  utils.py" in report
+
+
+def test_formatters_run_once_each(spark, tmp_path):
+    runs = H.formatter_output(spark, str(tmp_path), check=True, ruff=True, prettier=True)
+    assert [(r["tool"], r["check"]) for r in runs.collect()] == [("ruff", True), ("prettier", True)]
+
+
 def test_search_over_files(spark, tree):
     files = S.scan_search(spark, tree)
     hits = search.search(files, r"def \w+", include="*.py", context=1).orderBy("path").collect()
