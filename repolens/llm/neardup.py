@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     linked = settle(pairs.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
     first = settle(components(linked))
-    more = _cross_links(first, stars, ends, sets, percent)
+    more = _cross_links(first, buckets, stars, ends, sets, percent)
     final = _merged(first, more.unionByName(_same_id(node, classes)))
 
     classes = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -288,29 +288,44 @@ def _merged(first: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(first.unionByName(over.select(F.col("component").alias("id"), "component")).join(over, "component", "left").select("id", F.coalesce("top", "component").alias("component")).distinct())
 
 
-def _cross_links(first: DataFrame, stars: DataFrame, ends: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _meetings(rows: DataFrame, *group: str) -> DataFrame:
+    """For each group of rows (id, component) with several components: its largest, the numbers of blocks, how many
+    copies of sets the blocks take, and two digests of the members."""
+    digest = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    sizes = rows.groupBy(*group, "component").agg(F.count("*").alias("count"), digest(1).alias("x"), digest(2).alias("y"))
+    whole = sizes.groupBy(*group).agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    out = F.col("n") - F.col("top.count")
+    blocks, outlier_blocks = F.ceil(F.col("n") / BLOCK), F.ceil(out / BLOCK)
+    return whole.where("parts > 1").select(*group, F.col("top.component").alias("major"), outlier_blocks.alias("outlier_blocks"), blocks.alias("blocks"), (out * blocks + F.col("n") * outlier_blocks).alias("copies"), "x", "y")
+
+
+def _cross_links(first: DataFrame, buckets: DataFrame, stars: DataFrame, ends: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of one cluster (the components that stars of buckets connect).
 
-    Every text outside the cluster's largest component meets every text of the cluster, in blocks of about
-    BLOCK each, so a task's size does not follow the cluster's.
+    Texts that link share a bucket, so they meet either in each bucket (once, where buckets have equal members) or
+    in the cluster as a whole, whichever takes fewer copies of sets there: chains of texts have small buckets,
+    while a few strays of many alike texts share many buckets with all of them. Where they meet, every text outside
+    the largest component meets every other, in blocks of about BLOCK each, so a task's size does not follow theirs.
     """
     clusters = components(_between(stars, first)).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     member = ends.select(F.col("doc_id").alias("id")).join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     member = settle(member.join(clusters, "component").select("id", "cluster", "component"))
-    sizes = member.groupBy("cluster", "component").count()
-    clusters = (
-        sizes.groupBy("cluster")
-        .agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select("cluster", F.col("top.component").alias("major"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK).alias("outlier_blocks"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    )
-    placed = member.join(clusters, "cluster").join(sets, "id")
+    in_keys = buckets.select("id", "key").join(member, "id")
+    by_key = _meetings(in_keys, "cluster", "key")
+    by_key = settle(by_key.groupBy("cluster", "x", "y").agg(F.min_by(F.struct("key", "major", "outlier_blocks", "blocks", "copies"), "key").alias("m")).select("cluster", "m.*"))
+    sums = by_key.groupBy("cluster").agg(F.sum("copies").alias("key_copies"))
+    whole = settle(_meetings(member, "cluster").join(sums, "cluster", "left").withColumn("together", F.coalesce(F.col("copies") <= F.col("key_copies"), F.lit(True))))
+    plan = ("cluster", "major", "outlier_blocks", "blocks")
+    in_key = by_key.join(whole.where("NOT together").select("cluster"), "cluster", "left_semi").select(*plan, "key")
+    apart_ = buckets.select("id", "key").join(in_key, "key").join(member, ["id", "cluster"]).select("id", "component", *plan, "key")
+    together = member.join(whole.where("together").select(*plan), "cluster").select("id", "component", *plan, F.lit(None).cast(buckets.schema["key"].dataType).alias("key"))
+    placed = together.unionByName(apart_).join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     outliers = placed.where("component != major").select(
-        "cluster", F.pmod(F.xxhash64("id", F.lit(1)), F.col("outlier_blocks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("j"), "id", "component", "shingles", F.lit(True).alias("outlier")
+        "cluster", "key", F.pmod(F.xxhash64("id", F.lit(1)), F.col("outlier_blocks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("j"), "id", "component", "shingles", F.lit(True).alias("outlier")
     )
-    others = placed.select("cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outlier_blocks") - 1)).alias("i"), own.alias("j"), "id", "component", "shingles", F.lit(False).alias("outlier"))
-    return settle(outliers.unionByName(others).groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint"))
+    others = placed.select("cluster", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outlier_blocks") - 1)).alias("i"), own.alias("j"), "id", "component", "shingles", F.lit(False).alias("outlier"))
+    return settle(outliers.unionByName(others).groupBy("cluster", "key", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint"))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

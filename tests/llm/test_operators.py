@@ -179,6 +179,32 @@ def test_densified_signatures_estimate_jaccard():
         assert abs((sig[0] == sig[1]).mean() - true) < 0.15
 
 
+def test_chains_of_texts_meet_in_their_buckets(spark):
+    """Sliding windows over one long text: a cluster of many small buckets, some neighbours near enough to link."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(9000)]
+    at, rows = 0, []
+    for i in range(300):
+        rows.append((r.randrange(10**9), " ".join(words[at : at + 100])))
+        at += r.choice([3, 5, 8, 17, 25])
+    shingles = {d: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for d, t in rows}
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[i + 1 : i + 40]:
+            if 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(frame, 3, 85).collect()}
+    assert got == {d: find(d) for d, _ in rows} and 20 < len(set(got.values())) < 280
+
+
 def test_without_near_duplicates_keeps_one_of_each(docs):
     kept = neardup.without_near_duplicates(docs, 3, 85)
     assert kept.columns == docs.columns
