@@ -35,6 +35,7 @@ from .common import apart, schema_with, settle, small
 
 GRAM = 100
 WORD_GRAM = 12
+PACKED = 7
 SORT_BYTES = 1 << 19
 SORT_CLASSES = 6000
 _ODD = 0x9E3779B97F4A7C15
@@ -156,8 +157,8 @@ def _extract(least: int):
     return run
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by at least their first ``depth`` symbols (0 to 256); what follows the end sorts first."""
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """The first PACKED symbols (0 to 256) of every suffix as one number, zeros after the end."""
     n = len(symbols)
     key = symbols.astype(np.int64)
 
@@ -169,17 +170,39 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
     two = (key << 9) | after(key, 1)
     four = (two << 18) | after(two, 2)
-    key = (four << 27) | (after(four, 4) >> 9)
-    known = 7
+    return (four << 27) | (after(four, 4) >> 9)
+
+
+def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by at least their first ``depth`` symbols (0 to 256); what follows the end sorts first.
+
+    Ranks are numbers of places, so a suffix that shares its rank with no other is done; only the others are sorted
+    again, by the ranks of two or three parts that follow each other.
+    """
+    n = len(symbols)
+    key = packed(symbols)
+    known = PACKED
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.zeros(n + 1, np.int64)
+    slots, at = np.arange(n), order
+    parts, bits = (3, 21) if n < 1 << 21 else (2, 31)
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
-        if known >= depth or rank[order[-1]] == n:
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        rank[at] = np.repeat(slots[first[:-1]] + 1, np.diff(first))
+        tied = ~(new[:-1] & new[1:])
+        slots, at = slots[tied], at[tied]
+        if known >= depth or not len(at):
             return order
-        key = (rank << 32) | after(rank, known)
-        known *= 2
+        key = rank[at]
+        for i in range(1, parts):
+            key = (key << bits) | rank[np.minimum(at + i * known, n)]
+        by = np.argsort(key)
+        key, at = key[by], at[by]
+        order[slots] = at
+        known *= parts
 
 
 def open_borders(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -187,58 +210,54 @@ def open_borders(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
 
     Breadth-first backward extension: the interval of a string w, whose right border has just received the
     length |w| - 1, is extended by every symbol that precedes it in the Burrows-Wheeler transform; an extension
-    that ends at a border without a length gives it |w| and stays in the queue.
+    that ends at a border without a length gives it |w| and stays in the queue. The first strings have PACKED
+    symbols; borders with fewer common ones show in packed(). Intervals are in ascending order, so a stable sort
+    by the preceding symbol alone keeps them so. Symbol 0 ends a text: strings with more after it are not
+    followed, and a border is only right if one of its suffixes has no 0 in its first ``least`` symbols.
     """
-    n = len(symbols)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    n, known = len(symbols), min(PACKED, least)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     previous = np.where(order > 0, order - 1, n - 1)
-    back = place[previous]
-    transform = symbols[previous].astype(np.int64)
-    is_open = np.ones(n + 1, bool)
-    is_open[0] = is_open[n] = False
-    low, high = np.array([0]), np.array([n])
-    for _ in range(least):
+    back, transform = place[previous], symbols[previous]
+    key = packed(symbols)[order] >> (9 * (PACKED - known))
+    is_open = np.zeros(n + 1, bool)
+    is_open[1:n] = key[1:] == key[:-1]
+    edge = np.flatnonzero(~is_open).astype(np.int32)
+    low, high = edge[:-1], edge[1:]
+    fresh = np.append(key[high[:-1] - 1] >> 9 == key[high[:-1]] >> 9, False)
+    low, high = low[fresh], high[fresh]
+    for _ in range(known, least):
         size = high - low
-        at = B.ranges(low, size)
-        group = np.repeat(np.arange(len(low)), size) * 512 + transform[at]
-        target = back[at]
-        if len(low) == 1:
-            by = np.argsort(group, kind="stable")
-        else:
-            by = np.argsort(group)
-        group, target = group[by], target[by]
-        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        group = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        at = np.arange(len(group), dtype=np.int32) + (low - (np.cumsum(size, dtype=np.int32) - size))[group]
+        symbol = transform[at]
+        by = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
+        if not len(by):
+            break
+        group, symbol, target = group[by], symbol[by], back[at[by]]
+        cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])]))
         left = np.minimum.reduceat(target, cut)
-        right = left + np.diff(np.append(cut, len(group)))
+        right = left + np.diff(np.append(cut, len(group))).astype(np.int32)
         new = is_open[right]
         low, high = left[new], right[new]
         is_open[high] = False
-        if not len(low):
-            break
     return is_open
 
 
 def repeated_windows(bodies: list[bytes], copies: list[int], least: int) -> list[np.ndarray]:
     """For each context, which of its windows occurs again among the contexts given."""
-    parts, owner = [], []
-    for i, (body, c) in enumerate(zip(bodies, copies)):
-        for _ in range(min(c, 2)):
-            parts.append(body)
-            owner.append(i)
-    length = np.array([len(p) + 1 for p in parts])
+    length = np.array([len(b) + 1 for b in bodies])
     start = np.cumsum(length) - length
     symbols = np.zeros(int(length.sum()), np.int16)
-    for s, p in zip(start.tolist(), parts):
-        symbols[s : s + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) + 1
+    for s, b in zip(start.tolist(), bodies):
+        symbols[s : s + len(b)] = np.frombuffer(b, np.uint8).astype(np.int16) + 1
     order = suffix_order(symbols, least)
     beside = open_borders(symbols, order, least)
     again = np.zeros(len(symbols), bool)
     again[order] = beside[:-1] | beside[1:]
-    out = [np.zeros(len(b) - least + 1, bool) for b in bodies]
-    for s, i in zip(start.tolist(), owner):
-        out[i] |= again[s : s + len(out[i])]
-    return out
+    # one body stands for all copies of a context, whose windows all occur again
+    return [again[s : s + len(b) - least + 1] | (c > 1) for s, b, c in zip(start.tolist(), bodies, copies)]
 
 
 def _expand(least: int):
@@ -270,7 +289,7 @@ def _expand(least: int):
                 c.append(y)
                 copies.append(m)
                 body.append(text)
-                size += len(text) * min(m, 2)
+                size += len(text)
         if h:
             yield solve(h, c, copies, body)
             B.trim()

@@ -271,6 +271,37 @@ def test_open_borders_are_common_prefixes():
             assert got[i] == (a[:least] == b[:least] and min(len(a), len(b)) >= least)
 
 
+def test_repeated_windows_equal_brute_force():
+    r = random.Random(11)
+    for _ in range(300):
+        least, base = r.choice([3, 5, 8, 20]), bytes(r.choices(b"abc"[: r.randint(1, 3)], k=60))
+        bodies = set()
+        for _ in range(r.randint(1, 8)):
+            low = r.randint(0, 30)
+            body = bytearray(base[low : low + r.randint(least, least + 25)])
+            body[r.randrange(len(body))] = r.choice([0, 97, 98, 255])
+            bodies.add(bytes(body))
+        bodies = sorted(bodies)
+        copies = [r.choice([1, 1, 2, 3]) for _ in bodies]
+        starts = [range(len(b) - least + 1) for b in bodies]
+        times = collections.Counter()
+        for b, c, at in zip(bodies, copies, starts):
+            for p in at:
+                times[b[p : p + least]] += c
+        got = substrings.repeated_windows(bodies, copies, least)
+        assert [x.tolist() for x in got] == [[times[b[p : p + least]] > 1 for p in at] for b, at in zip(bodies, starts)]
+
+
+def test_repeated_windows_sort_little(monkeypatch):
+    """Copies are sorted once, and a suffix only until it differs from all others."""
+    shared = prose(50, 100)
+    bodies = [(prose(51 + i, 60)[-200:] + shared + prose(71 + i, 60)[:200]).encode() for i in range(8)]
+    sizes, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **b: sizes.append(len(x)) or plain(x, *a, **b))
+    got = substrings.repeated_windows(bodies, [2] * 8, 400)
+    assert all(x.all() for x in got) and sum(sizes) < 8 * sum(len(b) + 1 for b in bodies)
+
+
 def test_remove_repeats_keeps_rows_and_columns(docs):
     out = substrings.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
